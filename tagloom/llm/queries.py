@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01_shard
+from . import op01_shard, op02_token_ids, op10_pieces
 
 QUERIES = {
     "op1_shard": op01_shard.query,
+    "op2_token_ids": op02_token_ids.query,
+    "op10_pieces": op10_pieces.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ an empty table gives an empty file; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,13 @@ def encoder(tokenizer_file: str) -> SegmentEncoder:
         own.encode_special_tokens = True
         batch = getattr(own, "encode_batch_fast", own.encode_batch)
 
-        def encode_new(segments: list[str], _first: list[bool]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in batch(segments, add_special_tokens=False)]
+        def encode_new(segments: list[str], _first: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+            parts, sizes = [], []
+            for at in range(0, len(segments), 4096):
+                lists = [x.ids for x in batch(segments[at : at + 4096], add_special_tokens=False)]
+                sizes += map(len, lists)
+                parts.append(np.fromiter(chain.from_iterable(lists), "<u4"))
+            return np.concatenate(parts), np.array(sizes, np.int64)
 
         _encoders[tokenizer_file] = SegmentEncoder(encode_new, punctuation=True)
     return _encoders[tokenizer_file]

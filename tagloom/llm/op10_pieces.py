@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import SegmentEncoder, slices
-from .shared import text_or_empty
+from .segments import SegmentEncoder, _Pool, slices
+from .shared import HashIndex, text_or_empty
 
 WS = "▁"
 #: Symbols up to which segments share a matrix.
@@ -62,18 +62,17 @@ class PieceModel:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (order[scores[i]], i)
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.index = HashIndex(20)
+        self.index.add(np.array(list(pairs), np.uint64))
+        self.ranks = np.array([r for r, _ in pairs.values()] + [_NONE], np.int32)
+        self.merged = np.array([m for _, m in pairs.values()], np.int64)
 
-    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return at, (self.keys[at] == key) & (right >= 0) & (left >= 0)
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs in ranks and merged, or -1, which is the place of the rank that means none."""
+        return self.index.find((left << 32 | (right & 0xFFFFFFFF)).astype(np.uint64).reshape(-1)).reshape(left.shape)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        at, found = self._find(left, right)
-        return np.where(found, self.ranks[at], _NONE)
+        return self.ranks[self._find(left, right)]
 
     def _rows(self, a: np.ndarray) -> np.ndarray:
         """Merge every row of a matrix of symbols, padded on the right with -1."""
@@ -92,7 +91,7 @@ class PieceModel:
                 if not len(a):
                     break
                 rows = np.arange(len(a))
-            whole, _ = self._find(a[rows, p], a[rows, p + 1])
+            whole = self._find(a[rows, p], a[rows, p + 1])
             pick = np.minimum(columns + (columns > p[:, None]), len(columns) - 1)
             a = np.take_along_axis(a, pick, 1)
             r = np.take_along_axis(r, pick, 1)
@@ -141,12 +140,12 @@ class PieceModel:
             out += [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
         return out
 
-    def agenda(self, segments: list[str]) -> list[list[int] | np.ndarray]:
-        """Ids of each segment, whose white space is already written as the marker."""
+    def agenda(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments end to end and how many each has; white space is already written as the marker."""
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         symbols, starts = self.of_char[codes], np.cumsum(lengths) - lengths
-        out: list = [None] * len(segments)
+        order, bodies, sizes = [], [], []
         least = 0
         for width in WIDTHS:
             some = np.flatnonzero((lengths > least) & (lengths <= width))
@@ -158,24 +157,36 @@ class PieceModel:
             a = np.where(inside, symbols[np.minimum(starts[some][:, None] + place, len(symbols) - 1)], -1)
             a = self._rows(np.pad(a, ((0, 0), (0, 1)), constant_values=-1))
             odd = (a >= self.n).any(axis=1)
-            sizes = (a >= 0).sum(axis=1)
-            for i, row, k, o in zip(some.tolist(), a, sizes.tolist(), odd.tolist(), strict=True):
-                out[i] = self._ids(row[:k].tolist()) if o else row[:k]
+            plain = a[~odd]
+            order.append(some[~odd])
+            bodies.append(plain[plain >= 0])
+            sizes.append((plain >= 0).sum(axis=1))
+            for i, row in zip(some[odd].tolist(), a[odd], strict=True):
+                ids = self._ids(row[row >= 0].tolist())
+                order.append([i])
+                bodies.append(ids)
+                sizes.append([len(ids)])
         for i in np.flatnonzero(lengths > least).tolist():
-            out[i] = self._ids(self._heap(symbols[starts[i] : starts[i] + lengths[i]].tolist()))
-        return [x if x is not None else [] for x in out]
-
-    def encode_new(self, segments: list[str], first: list[bool]) -> list[bytes]:
+            ids = self._ids(self._heap(symbols[starts[i] : starts[i] + lengths[i]].tolist()))
+            order.append([i])
+            bodies.append(ids)
+            sizes.append([len(ids)])
+        if not order:
+            return np.zeros(0, "<u4"), np.zeros(len(segments), np.int64)
+        pool = _Pool(np.dtype("<u4"))
+        pool.add(np.concatenate(bodies), np.concatenate(sizes).astype(np.int64))
+        at = np.concatenate(order)
+        back = np.empty(len(segments), np.int64)
+        back[at] = np.arange(len(at))
+        return pool.gather(back)
+
+    def encode_new(self, segments: list[str], first: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Our ids of new segments, checked against the library's; raw segments that follow others begin with a space."""
-        marked = [(WS + s if f else s).replace(" ", WS) for s, f in zip(segments, first, strict=True)]
-        own = self.agenda(marked)
+        own, sizes = self.agenda([(WS + s if f else s).replace(" ", WS) for s, f in zip(segments, first, strict=True)])
         theirs = self.library.encode([s if f else s[1:] for s, f in zip(segments, first, strict=True)], num_threads=1)
-        ours = np.concatenate([np.asarray(x, np.int64) for x in own])
-        sizes = list(map(len, theirs))
-        check = np.fromiter(chain.from_iterable(theirs), np.int64, sum(sizes))
-        if sizes == [len(x) for x in own] and np.array_equal(ours, check):
-            return [np.asarray(x, "<u4").tobytes() for x in own]
-        return [np.asarray(x, "<u4").tobytes() for x in theirs]
+        counts = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        check = np.fromiter(chain.from_iterable(theirs), "<u4", int(counts.sum()))
+        return (own, sizes) if np.array_equal(sizes, counts) and np.array_equal(own, check) else (check, counts)
 
 
 _models: dict[str, tuple[PieceModel, SegmentEncoder]] = {}

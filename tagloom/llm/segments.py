@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .shared import BLOCK, span_hashes, utf8
+from .shared import BLOCK, HashIndex, span_hashes, utf8
 
 _SPACE = 32
 _NEXT = np.zeros(256, bool)
@@ -27,8 +27,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
 _PUNCT[39] = False
-#: Longest segment that is kept, and how many.
-KEPT_BYTES, KEPT = 64, 700_000
+#: Segments and bytes of segments that a worker keeps before it starts afresh.
+KEPT, KEPT_BYTES = 1_200_000, 1 << 25
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
@@ -61,59 +61,91 @@ def segment_starts(data: np.ndarray, offsets: np.ndarray, punctuation: bool) ->
     return np.flatnonzero(begins)
 
 
+class _Pool:
+    """Values of varying length, end to end in one growing array."""
+
+    def __init__(self, dtype):
+        self.body, self.n = np.zeros(1 << 12, dtype), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, body: np.ndarray, sizes: np.ndarray) -> None:
+        if self.n + len(body) > len(self.body):
+            self.body = np.concatenate([self.body[: self.n], np.zeros(self.n + 2 * len(body), self.body.dtype)])
+        self.body[self.n : self.n + len(body)] = body
+        self.starts = np.concatenate([self.starts, self.n + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.n += len(body)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at these places, end to end, and their sizes."""
+        sizes = self.sizes[which]
+        total = np.cumsum(sizes)
+        index = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.starts[which] - (total - sizes), sizes)
+        return self.body[index], sizes
+
+
 class SegmentEncoder:
-    """encode_new: (list of segments, list of whether each begins its document) -> list of little-endian uint32 bytes."""
+    """encode_new: (segments, whether each begins its document) -> (all ids end to end, how many each has)."""
 
-    def __init__(self, encode_new: Callable[[list[str], list[bool]], list[bytes]], punctuation: bool = False):
+    def __init__(self, encode_new: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]], punctuation: bool = False):
         self.encode_new, self.punctuation = encode_new, punctuation
-        self.known: tuple[dict, dict] = ({}, {})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.slots = HashIndex(18), np.zeros(0, np.int64)
+        self.segments, self.flags, self.ids = _Pool(np.uint8), np.zeros(0, bool), _Pool(np.dtype("<u4"))
+
+    def _known(self, data, starts, ends, first, hashes) -> np.ndarray:
+        """The slot of each segment, or -1; a slot counts only if the bytes and the flag are the same."""
+        out = np.full(len(hashes), -1, np.int64)
+        at = self.index.find(hashes)
+        hit = np.flatnonzero(at >= 0)
+        lengths, slot = ends[hit] - starts[hit], self.slots[at[hit]]
+        fits = (self.segments.sizes[slot] == lengths) & (self.flags[slot] == first[hit])
+        hit, slot, lengths = hit[fits], slot[fits], lengths[fits]
+        if not len(hit):
+            return out
+        kept, _ = self.segments.gather(slot)
+        total = np.cumsum(lengths)
+        index = np.arange(int(total[-1])) + np.repeat(starts[hit] - (total - lengths), lengths)
+        wrong = data[index] != kept
+        if wrong.any():
+            bad = np.unique(np.searchsorted(total, np.flatnonzero(wrong), side="right"))
+            slot[bad] = -1
+        out[hit] = slot
+        return out
 
-    def _values(self, data, starts, ends, first) -> list[bytes]:
+    def _learn(self, data, starts, ends, first, hashes) -> np.ndarray:
+        """Encode segments that are not known; returns the slot of each."""
         body = data.tobytes()
-        keys = [body[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        flags = first.tolist()
-        out = [self.known[f].get(k) for k, f in zip(keys, flags, strict=True)]
-        new = [i for i, v in enumerate(out) if v is None]
-        if new:
-            made = self.encode_new([keys[i].decode() for i in new], [flags[i] for i in new])
-            if sum(map(len, self.known)) + len(new) > KEPT:
-                for d in self.known:
-                    d.clear()
-            for i, v in zip(new, made, strict=True):
-                out[i] = v
-                if len(keys[i]) <= KEPT_BYTES:
-                    self.known[flags[i]][keys[i]] = v
-        return out
+        seen: dict = {}
+        which = [seen.setdefault((body[s:e], f), len(seen)) for s, e, f in zip(starts.tolist(), ends.tolist(), first.tolist(), strict=True)]
+        slots = np.array(which, np.int64)
+        _, picked = np.unique(slots, return_index=True)
+        base = len(self.ids.sizes)
+        keys = list(seen)
+        ids, sizes = self.encode_new([k.decode() for k, _ in keys], [f for _, f in keys])
+        self.ids.add(ids, sizes)
+        self.segments.add(np.frombuffer(b"".join(k for k, _ in keys), np.uint8), np.fromiter((len(k) for k, _ in keys), np.int64, len(keys)))
+        self.flags = np.concatenate([self.flags, first[picked]])
+        fresh, at = np.unique(hashes[picked], return_index=True)  # of two segments with one hash, one is found again
+        unseen = self.index.find(fresh) < 0
+        self.index.add(fresh[unseen])
+        self.slots = np.concatenate([self.slots, base + at[unseen]])
+        return base + slots
 
     def _block(self, data, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
         """Ids of adjacent segments, and how many each has."""
         base = starts[0]
-        data = data[base : ends[-1]]
-        starts, ends = starts - base, ends - base
-        if len(starts) == 1:
-            picked, inverse = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        else:
-            hashes = span_hashes(data, starts, ends) ^ (first.astype(np.uint64) * np.uint64(0x5DEECE66D1234567))
-            _, picked, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            lengths = ends - starts
-            twin = picked[inverse]
-            same = bool((lengths[twin] == lengths).all() and (first[twin] == first).all())
-            if same:
-                shift = np.repeat(starts[twin] - starts, lengths)
-                same = bool((data[np.arange(len(data)) + shift] == data).all())
-            if not same:  # two segments share a hash
-                seen: dict = {}
-                body = data.tobytes()
-                inverse = np.array([seen.setdefault((body[s:e], f), len(seen)) for s, e, f in zip(starts, ends, first, strict=True)])
-                _, picked = np.unique(inverse, return_index=True)
-        values = self._values(data, starts[picked], ends[picked], first[picked])
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool = np.frombuffer(b"".join(values), "<u4")
-        place = np.cumsum(size) - size
-        counts = size[inverse]
-        total = np.cumsum(counts)
-        index = np.arange(int(total[-1])) + np.repeat(place[inverse] - (total - counts), counts)
-        return pool[index], counts
+        data, starts, ends = data[base : ends[-1]], starts - base, ends - base
+        if len(self.flags) > KEPT or self.segments.n > KEPT_BYTES:
+            self._forget()
+        hashes = span_hashes(data, starts, ends) ^ (first.astype(np.uint64) * np.uint64(0x5DEECE66D1234567))
+        slots = self._known(data, starts, ends, first, hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = self._learn(data, starts[new], ends[new], first[new], hashes[new])
+        return self.ids.gather(slots)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and len + 1 offsets of its documents into them."""

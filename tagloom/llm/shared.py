@@ -130,6 +130,54 @@ def _long_hash(body: np.ndarray) -> np.uint64:
     return mix(np.array([total ^ (np.uint64(n) << np.uint64(40))], np.uint64))[0]
 
 
+class HashIndex:
+    """Places of 64-bit keys in the order they were added: open addressing over arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.keys = bits, np.zeros(0, np.uint64)
+        self.table = np.full(1 << bits, -1, np.int32)
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * _MULT) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys) or not len(keys):
+            return out
+        left, spot, wanted, last = None, self._spot(keys), keys, (1 << self.bits) - 1
+        while True:
+            at = self.table[spot]
+            same = (self.keys[at] == wanted) & (at >= 0)
+            if left is None:
+                out[same] = at[same]
+            else:
+                out[left[same]] = at[same]
+            on = np.flatnonzero((at >= 0) & ~same)
+            if not len(on):
+                return out
+            left = on if left is None else left[on]
+            wanted, spot = wanted[on], (spot[on] + 1) & last
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add distinct keys that are not yet in."""
+        start = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 3 * len(self.keys) > 1 << self.bits:
+            while 3 * len(self.keys) > 1 << self.bits:
+                self.bits += 1
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            start = 0
+        new = np.arange(start, len(self.keys), dtype=np.int32)
+        spot, last = self._spot(self.keys[start:]), (1 << self.bits) - 1
+        while len(new):
+            free = np.flatnonzero(self.table[spot] < 0)
+            self.table[spot[free]] = new[free]
+            on = self.table[spot] != new
+            new, spot = new[on], (spot[on] + 1) & last
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty), and len + 1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op01_shard, op02_token_ids, op10_pieces
+from . import op01_shard, op02_token_ids, op07_decontaminate, op10_pieces
 
 QUERIES = {
     "op1_shard": op01_shard.query,
     "op2_token_ids": op02_token_ids.query,
+    "op7_decontaminate": op07_decontaminate.query,
     "op10_pieces": op10_pieces.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": op07_decontaminate.ORACLE_SQL,
+}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01_shard, op02_token_ids, op07_decontaminate, op10_pieces
+from . import op01_shard, op02_token_ids, op06_simhash, op07_decontaminate, op10_pieces
 
 QUERIES = {
     "op1_shard": op01_shard.query,
     "op2_token_ids": op02_token_ids.query,
+    "op6_simhash": op06_simhash.query,
     "op7_decontaminate": op07_decontaminate.query,
     "op10_pieces": op10_pieces.query,
 }

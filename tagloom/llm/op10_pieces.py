@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .op02_token_ids import with_end
 from .segments import SegmentEncoder, _Pool, slices
 from .shared import HashIndex, text_or_empty
 
@@ -220,12 +221,17 @@ def _decimal(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _DIGITS[0][ids][np.arange(8) < size[:, None]], ends
 
 
-def round_trip(docs: DataFrame, model_file: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: the carried columns, n_tokens with the end id, and checksums of ids and of the decoded text."""
+def round_trip(docs: DataFrame, model_file: str, carry: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Per document: the carried columns, n_tokens with the end id, and checksums of ids and of the decoded text.
+
+    with_ids adds the ids themselves, the end id included. Columns that are carried must not have the names of the others.
+    """
     from pyspark.sql import types as T
 
     keep = docs.select(*carry).schema
     schema = T.StructType([*keep.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         own, encoder = model(model_file)
@@ -245,8 +251,11 @@ def round_trip(docs: DataFrame, model_file: str, carry: tuple[str, ...] = ("doc_
                     counts.append(b - a + 1)
                     id_sha.append(hashlib.sha256(raw[c:d] + tail).hexdigest())
                     text_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                kept = [some.column(f.name) for f in keep.fields]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], [f.name for f in schema.fields])
+                made = [some.column(f.name) for f in keep.fields] + [pa.array(counts, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())]
+                if with_ids:
+                    ended, lengths = with_end(ids, offsets, end)
+                    made.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(ended.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(made, [f.name for f in schema.fields])
 
     return docs.select(*carry, text_or_empty().alias("_text")).mapInArrow(run, schema)
 

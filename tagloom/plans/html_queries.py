@@ -1,8 +1,565 @@
-"""Named queries over the ``pages`` table, with the DuckDB SQL each is compared with."""
+"""Named queries over the ``pages`` table, with the DuckDB SQL each is compared with.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The SQL works on the text of the pages with regular expressions, which the regular template of that table allows; counts
+of ``b`` elements depend on error recovery, so no SQL can give them.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..core.budgets import Budgets
+from ..functions import html as H
+from ..operators import nodes as N
+from ..operators import parse as P
+from ..operators import patch as X
+from ..operators import text as V
+from ..operators.arrow import spread
+from ..sources.files import split_bytes
+from ..streaming import chunks as C
+
+KEY = ["page_id"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return add
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
+def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.encode("html", "UTF-8").alias("bytes"))
+
+
+def _slice(pattern: str):
+    return F.regexp_extract("html", f"(?s){pattern}", 0)
+
+
+# --- SQL over the template --------------------------------------------------------------------------------------------
+
+_BARE = "regexp_replace(regexp_replace(html, '<script>.*?</script>', '', 'gs'), '<!--.*?-->', '', 'gs')"
+_BODY = "regexp_replace(regexp_replace(html, '<head>.*?</head>', '', 'gs'), '<!--.*?-->', '', 'gs')"
+
+
+def _cut(pattern: str, group: int = 1) -> str:
+    return f"regexp_extract(html, '{pattern}', {group}, 's')"
+
+
+def _decoded(sql: str) -> str:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        sql = f"replace({sql}, '&{name};', '{char}')"
+    return sql
+
+
+_SPACED = f"regexp_replace({_BODY}, '[ \\t\\n\\f\\r]+', ' ', 'g')"
+_BROKEN = f"replace({_SPACED}, '</p>', chr(10) || chr(10))"
+_BROKEN = f"regexp_replace({_BROKEN}, '<br>|<p>', chr(10), 'g')"
+_BROKEN = f"regexp_replace({_BROKEN}, '</?(nav|ul|li|div|article|h1|footer)( [^>]*)?>', chr(10), 'g')"
+_BROKEN = f"regexp_replace({_BROKEN}, '<[/a-zA-Z!][^>]*>', '', 'g')"
+_VISIBLE = _decoded(_BROKEN)
+for _pattern, _by in (("[ \\t\\f]+\\n", "chr(10)"), ("\\n[ \\t\\f]+", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), (" {2,}", "' '")):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '{_pattern}', {_by}, 'g')"
+_TRIMMED = f"trim({_VISIBLE}, ' ' || chr(10) || chr(9))"
+_H1 = _decoded(_cut("<h1>(.*?)</h1>"))
+_NAV = _cut("<nav>.*?</nav>", 0)
+_AD = _cut('<div class="ad">(.*?)</div>')
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+@_query("sc1_html_source", "SELECT page_id, length(html) AS n_chars, html IS NOT NULL AS read FROM pages")
+def html_source(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.length("html").cast("long").alias("n_chars"), F.col("html").isNotNull().alias("read"))
+
+
+@_query("sc2_parse_bytes_title", f"SELECT page_id, {_decoded(_cut('<title>(.*?)</title>'))} AS text FROM pages")
+def parse_bytes_title(spark, sf_dir):
+    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes")
+    return N.text_content(N.find_all_by_tag_name(nodes, "title"), nodes, KEY).select("page_id", "text")
+
+
+@_query("sc3_stream_reassembly", "SELECT page_id, html AS text, strlen(html) AS bytes_read, 'utf-8' AS encoding, 'meta' AS source FROM pages")
+def stream_reassembly(spark, sf_dir):
+    chunks = split_bytes(page_bytes(spark, sf_dir), KEY, 1000)
+    return C.assemble(chunks, KEY).select("page_id", "text", "bytes_read", "encoding", "source")
+
+
+@_query("sc4_sniff_encoding", "SELECT page_id, 'utf-8' AS encoding, 'meta' AS source FROM pages")
+def sniff_encoding(spark, sf_dir):
+    return page_bytes(spark, sf_dir).select("page_id", H.sniff_encoding("bytes").alias("e")).select("page_id", "e.encoding", "e.source")
+
+
+@_query("sc4b_transport_label", "SELECT page_id, 'windows-1252' AS encoding, 'transport' AS source FROM pages")
+def transport_label(spark, sf_dir):
+    return page_bytes(spark, sf_dir).select("page_id", H.sniff_encoding("bytes", ' "ISO-8859-1" ').alias("e")).select("page_id", "e.encoding", "e.source")
+
+
+@_query("sc5_decode_bytes", "SELECT page_id, html AS text FROM pages")
+def decode_bytes(spark, sf_dir):
+    return page_bytes(spark, sf_dir).select("page_id", H.decode_html("bytes")["text"].alias("text"))
+
+
+# --- parsing ----------------------------------------------------------------------------------------------------------
+
+_TAG_ROWS = f"""
+SELECT page_id, tag_name, count(*) AS n FROM (
+  SELECT page_id, unnest(regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag_name FROM pages
+  UNION ALL SELECT page_id, 'script' AS tag_name FROM pages) WHERE tag_name <> 'b' GROUP BY page_id, tag_name
+"""
+
+
+@_query("p1_parse_tag_counts", _TAG_ROWS)
+def parse_tag_counts(spark, sf_dir):
+    """Elements of each page by name, but b."""
+    return N.tag_counts(P.parse_nodes(pages(spark, sf_dir), KEY), KEY).where("tag_name <> 'b'")
+
+
+@_query("p1_parse_nodes")
+def parse_nodes(spark, sf_dir):
+    """The whole node table with spans."""
+    return P.parse_nodes(pages(spark, sf_dir), KEY, spans=True)
+
+
+_FRAGMENT = f"SELECT page_id, len(regexp_extract_all({_NAV}, '<li>')) AS n_li, len(regexp_extract_all({_NAV}, '<a ')) AS n_a FROM pages"
+
+
+@_query("p2_parse_fragment_nav", _FRAGMENT)
+def parse_fragment_nav(spark, sf_dir):
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body")
+    count = lambda tag: F.count_if(F.col("tag_name") == tag)
+    return nodes.groupBy("page_id").agg(count("li").alias("n_li"), count("a").alias("n_a"))
+
+
+@_query("p3_parse_bytes_h1", f"SELECT page_id, {_H1} AS text FROM pages")
+def parse_bytes_h1(spark, sf_dir):
+    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes")
+    return N.text_content(N.find_all_by_tag_name(nodes, "H1"), nodes, KEY).select("page_id", "text")
+
+
+@_query("p4_parse_stream_h1", f"SELECT page_id, {_H1} AS text FROM pages")
+def parse_stream_h1(spark, sf_dir):
+    nodes = C.parse_stream_nodes(split_bytes(page_bytes(spark, sf_dir), KEY, 777), KEY)
+    return N.text_content(N.find_all_by_tag_name(nodes, "h1"), nodes, KEY).select("page_id", "text")
+
+
+_NO_COMMENT = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+_TOKENS = f"""
+SELECT page_id, kind, n FROM (
+  SELECT page_id, 'startTag' AS kind, len(regexp_extract_all({_NO_COMMENT}, '<[a-z]')) AS n FROM pages
+  UNION ALL SELECT page_id, 'endTag', len(regexp_extract_all({_NO_COMMENT}, '</[a-z]')) FROM pages
+  UNION ALL SELECT page_id, 'comment', len(regexp_extract_all(html, '<!--')) FROM pages
+  UNION ALL SELECT page_id, 'doctype', 1 FROM pages UNION ALL SELECT page_id, 'eof', 1 FROM pages) WHERE n > 0
+"""
+
+
+@_query("p5_tokenize_counts", _TOKENS)
+def tokenize_counts(spark, sf_dir):
+    """Tokens of each page by kind, but characters; an end tag in the script is a token here."""
+    return P.tokenize_html(pages(spark, sf_dir), KEY).where("kind <> 'chars'").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query("p5_tokenize")
+def tokenize(spark, sf_dir):
+    return P.tokenize_html(pages(spark, sf_dir), KEY)
+
+
+@_query("p5b_tokenize_rcdata", "SELECT page_id, 'chars' AS kind, " + _decoded("html") + " AS value FROM pages WHERE NOT regexp_matches(html, '&amp?($|[^;a])|&am$|&a$|&$') UNION ALL SELECT page_id, 'eof', NULL FROM pages WHERE NOT regexp_matches(html, '&amp?($|[^;a])|&am$|&a$|&$')")
+def tokenize_rcdata(spark, sf_dir):
+    """Pages as the text of an element that knows only references; those that end in a cut reference are left to tests."""
+    whole = pages(spark, sf_dir).where(~F.col("html").rlike(r"&amp?($|[^;a])|&am$|&a$|&$"))
+    return P.tokenize_html(whole, KEY, state="rcdata", last_start_tag="none").select("page_id", "kind", "value")
+
+
+@_query("p5_tokenize_stream_counts", _TOKENS)
+def tokenize_stream_counts(spark, sf_dir):
+    tokens = C.tokenize_stream(split_bytes(page_bytes(spark, sf_dir), KEY, 4096), KEY)
+    return tokens.where("kind <> 'chars'").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query("p7_character_references", f"SELECT page_id, {_decoded(_cut('<footer>([^<]*)'))} AS text FROM pages WHERE html LIKE '%</footer>%'")
+def character_references(spark, sf_dir):
+    whole = pages(spark, sf_dir).where(F.col("html").contains("</footer>"))
+    return whole.select("page_id", H.decode_references(F.regexp_extract("html", "<footer>([^<]*)", 1)).alias("text"))
+
+
+@_query("p8_rebuild_from_tokens")
+def rebuild_from_tokens(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.rebuild("html").alias("html"))
+
+
+@_query("p10_attributes", "SELECT page_id, 'a' AS tag_name, ord, 'href' AS name, href AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) AS ord FROM pages)")
+def attributes(spark, sf_dir):
+    links = N.with_order(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "a"), KEY)
+    return links.select("page_id", "tag_name", F.col("ord").cast("long").alias("ord"), F.explode("attributes").alias("x")).select("page_id", "tag_name", "ord", "x.name", "x.value")
+
+
+@_query("p12_normalize_tree")
+def normalize_tree(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.normalize_tree("html").alias("dump"))
+
+
+# --- projections ------------------------------------------------------------------------------------------------------
+
+
+@_query("s1_serialize_fragment_nav", f"SELECT page_id, {_NAV} AS html FROM pages")
+def serialize_fragment_nav(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.serialize_html(_slice("<nav>.*?</nav>"), context="body").alias("html"))
+
+
+@_query("s1_serialize")
+def serialize(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.serialize_html("html").alias("html"))
+
+
+_COMPACT_AD = f"""replace({_cut('<div class="ad">.*?</div>', 0)}, '"ad"', 'ad')"""
+
+
+@_query("s2_serialize_compact_ad", f"SELECT page_id, {_COMPACT_AD} AS html FROM pages")
+def serialize_compact_ad(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.serialize_html(_slice('<div class="ad">.*?</div>'), context="body", style="compact").alias("html"))
+
+
+def _serializer_tokens(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Tokens of documents as arrays for the token serializer."""
+    tokens = P.tokenize_html(df, keys, "part").where("kind <> 'eof'")
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("startTag", "StartTag"), ("endTag", "EndTag"), ("chars", "Characters"), ("comment", "Comment"), ("doctype", "Doctype")) for x in p]), F.col("kind"))
+    null = F.lit(None).cast("string")
+    attributes = F.transform(F.coalesce("attributes", F.array().cast("array<struct<name:string,value:string>>")), lambda a: F.struct(null.alias("namespace"), a["name"].alias("name"), a["value"].alias("value")))
+    token = F.struct(kind.alias("type"), null.alias("namespace"), F.coalesce("name", F.lit("")).alias("name"), attributes.alias("attributes"), F.coalesce("value", F.lit("")).alias("data"), F.coalesce("public_id", F.lit("")).alias("public_id"), F.coalesce("system_id", F.lit("")).alias("system_id"))
+    return tokens.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", token.alias("token")))), lambda t: t["token"]).alias("tokens"))
+
+
+@_query("s3_serialize_tokens_nav", f"SELECT page_id, replace(replace({_NAV}, '</li>', ''), chr(34), chr(39)) AS html FROM pages")
+def serialize_tokens_nav(spark, sf_dir):
+    """End tags of list items may go; values are quoted by apostrophes."""
+    part = pages(spark, sf_dir).select("page_id", _slice("<nav>.*?</nav>").alias("part"))
+    return _serializer_tokens(part, KEY).select("page_id", H.serialize_tokens("tokens", quote_char="'", quote_attr_values=True).alias("html"))
+
+
+@_query("s3d_inject_meta_charset", f"SELECT page_id, '<meta charset=koi8-r>' || {_cut('<title>.*?</title>', 0)} AS html FROM pages")
+def inject_meta_charset(spark, sf_dir):
+    """A head whose declaration of the encoding is rewritten; its own tags may go."""
+    part = pages(spark, sf_dir).select("page_id", F.concat(F.lit('<head><meta charset="utf-8">'), _slice("<title>.*?</title>"), F.lit("</head>")).alias("part"))
+    return _serializer_tokens(part, KEY).select("page_id", H.serialize_tokens("tokens", inject_meta_charset=True, encoding="koi8-r").alias("html"))
+
+
+@_query("s4_text_content_h1", f"SELECT page_id, {_H1} AS text FROM pages")
+def text_content_h1(spark, sf_dir):
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
+    return N.text_content(N.find_all_by_tag_name(nodes, "h1"), nodes, KEY).select("page_id", "text")
+
+
+@_query("s5_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS as_text, replace(replace(html, '&', '&amp;'), chr(34), '&quot;') AS as_attribute FROM pages")
+def escape(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.escape_text("html").alias("as_text"), H.escape_attribute("html").alias("as_attribute"))
+
+
+@_query("s6_parse_error_spec_ref", "SELECT page_id, 'https://html.spec.whatwg.org/multipage/parsing.html#parse-errors' AS url FROM pages")
+def parse_error_spec_ref(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.parse_error_spec_ref().alias("url"))
+
+
+@_query("s7_parse_errors")
+def parse_errors(spark, sf_dir):
+    return P.parse_errors(pages(spark, sf_dir), KEY)
+
+
+@_query("s7_parse_error_id", "SELECT page_id, 'vendor:' || trim(regexp_extract(html, '<h1>([^<]*)', 1)) AS id FROM pages")
+def parse_error_id(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.parse_error_id(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("id"))
+
+
+@_query("s8_metrics")
+def metrics(spark, sf_dir):
+    return P.document_metrics(pages(spark, sf_dir), KEY).drop("budget_error")
+
+
+@_query("s8_subtree_nodes_nav", f"SELECT page_id, 2 + 2 * len(regexp_extract_all({_NAV}, '<li>')) + len(regexp_extract_all({_NAV}, '<a [^>]*>[^<]')) AS subtree_nodes FROM pages")
+def subtree_nodes_nav(spark, sf_dir):
+    nodes = N.subtree_size(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "nav"))
+    return nodes.select("page_id", F.col("subtree_nodes").cast("long").alias("subtree_nodes"))
+
+
+# --- lookups ----------------------------------------------------------------------------------------------------------
+
+
+@_query("f1_walk_order")
+def walk_order(spark, sf_dir):
+    return N.walk(P.parse_nodes(pages(spark, sf_dir), KEY), KEY).select("page_id", "pre", "depth", "kind", "tag_name")
+
+
+@_query("f2_walk_elements_tag_counts", _TAG_ROWS)
+def walk_elements(spark, sf_dir):
+    return N.elements(P.parse_nodes(pages(spark, sf_dir), KEY)).where("tag_name <> 'b'").groupBy("page_id", "tag_name").agg(F.count("*").alias("n"))
+
+
+@_query("f3_find_by_id", "SELECT page_id, 'doctype' AS kind, 'html' AS name FROM pages")
+def find_by_id(spark, sf_dir):
+    """Ids begin behind the root's 1, so 2 is the first leaf: the doctype."""
+    return N.find_by_id(P.parse_nodes(pages(spark, sf_dir), KEY), 2).select("page_id", "kind", "name")
+
+
+_LINKS = """
+SELECT page_id, ord, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+  generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS ord FROM pages)
+"""
+
+
+@_query("f4_find_all_by_tag_a", _LINKS)
+def find_all_by_tag_a(spark, sf_dir):
+    links = N.with_order(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "A"), KEY)
+    return links.select("page_id", F.col("ord").cast("long").alias("ord"), H.attribute_value("attributes", "href").alias("href"))
+
+
+@_query("f5_find_all_by_attr_class_ad", f"SELECT page_id, 'div' AS tag_name, {_decoded(_AD)} AS text FROM pages")
+def find_all_by_attr(spark, sf_dir):
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
+    return N.text_content(N.find_all_by_attr(nodes, "class", "ad"), nodes, KEY).select("page_id", "tag_name", "text")
+
+
+@_query("f6_attribute_value", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def attribute_value(spark, sf_dir):
+    found = N.find_all_by_attr(P.parse_nodes(pages(spark, sf_dir), KEY), "lang")
+    return found.select("page_id", H.attribute_value("attributes", "LANG").alias("lang"))
+
+
+
+@_query("f7_visible_nodes", f"SELECT page_id, {_H1} AS text FROM pages")
+def visible_nodes(spark, sf_dir):
+    """The heading and the advertisement, which is hidden first: only the heading's text is left."""
+    part = F.concat(F.lit('<div style="DISPLAY : none"><i>'), _slice('<div class="ad">.*?</div>'), F.lit("</i></div>"), _slice("<h1>.*?</h1>"))
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, part, context="body")
+    texts = N.visible_nodes(nodes, KEY).where("kind = 'text'")
+    return texts.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), "").alias("text"))
+
+
+# --- text -------------------------------------------------------------------------------------------------------------
+
+
+@_query("v1_visible_text", f"SELECT page_id, {_TRIMMED} AS text FROM pages")
+def visible_text(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.visible_text("html").alias("text"))
+
+
+@_query("v1_visible_text_no_trim", f"SELECT page_id, {_VISIBLE} AS text FROM pages")
+def visible_text_no_trim(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.visible_text("html", trim=False).alias("text"))
+
+
+@_query("v1f_accessible_names", f"""SELECT page_id, {_decoded(_cut('href="([^"]*)"'))} AS text FROM pages""")
+def accessible_names(spark, sf_dir):
+    part = F.concat(F.lit('<input aria-label="'), F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit('">'))
+    return pages(spark, sf_dir).select("page_id", H.visible_text(part, include_accessible_name_fallback=True).alias("text"))
+
+
+_TEXT_TOKENS = f"""
+SELECT page_id, CAST(pos - 1 AS INT) AS pos, CASE value WHEN chr(10) || chr(10) THEN 'paragraphBreak' WHEN chr(10) THEN 'lineBreak' WHEN chr(9) THEN 'tab' ELSE 'text' END AS kind, value
+FROM (SELECT page_id, unnest(t) AS value, generate_subscripts(t, 1) AS pos FROM (SELECT page_id, regexp_extract_all({_TRIMMED}, '\\n\\n|\\n|\\t|[^\\n\\t]+') AS t FROM pages))
+"""
+
+
+@_query("v2_visible_text_tokens", _TEXT_TOKENS)
+def visible_text_tokens(spark, sf_dir):
+    return V.visible_text_tokens(visible_text(spark, sf_dir), KEY)
+
+
+@_query("v3_visible_text_provenance")
+def visible_text_provenance(spark, sf_dir):
+    return V.visible_text_sourced(pages(spark, sf_dir), KEY)
+
+
+@_query("v3_provenance_text", f"SELECT page_id, {_TRIMMED} AS text FROM pages")
+def provenance_text(spark, sf_dir):
+    """The tokens' values put together again."""
+    found = pages(spark, sf_dir).select("page_id", H.visible_text_sourced("html").alias("t"))
+    return found.select("page_id", F.array_join(F.transform("t", lambda x: x["value"]), "").alias("text"))
+
+
+_F1 = f"""
+WITH t AS (SELECT page_id, {_H1} AS a, {_decoded(_AD)} AS b FROM pages),
+w AS (SELECT page_id, 'a' AS side, unnest(string_split(regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) AS word FROM t
+      UNION ALL SELECT page_id, 'b', unnest(string_split(regexp_replace(lower(b), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) FROM t),
+c AS (SELECT page_id, word, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM w WHERE word <> '' GROUP BY ALL),
+s AS (SELECT page_id, sum(least(a, b)) AS both_n, sum(a) AS na, sum(b) AS nb FROM c GROUP BY page_id)
+SELECT t.page_id, CASE WHEN na IS NULL THEN 1.0 WHEN na = 0 OR nb = 0 OR both_n = 0 THEN 0.0 ELSE 2 * (both_n / nb) * (both_n / na) / ((both_n / nb) + (both_n / na)) END AS f1
+FROM t LEFT JOIN s ON t.page_id = s.page_id
+"""
+
+
+@_query("v4_token_f1", _F1)
+def token_f1(spark, sf_dir):
+    part = lambda p: H.decode_references(F.regexp_extract("html", f"(?s){p}", 1))
+    texts = pages(spark, sf_dir).select("page_id", part("<h1>(.*?)</h1>").alias("a"), part('<div class="ad">(.*?)</div>').alias("b"))
+    return V.token_f1(texts, KEY, "a", "b")
+
+
+# --- summaries --------------------------------------------------------------------------------------------------------
+
+
+@_query("a1_outline_headings", f"SELECT page_id, 3 AS depth, 'h1' AS tag_name, left({_H1}, 200) AS text FROM pages")
+def outline_headings(spark, sf_dir):
+    found = pages(spark, sf_dir).select("page_id", F.explode(H.outline("html")).alias("o")).select("page_id", "o.*")
+    return found.where("tag_name = 'h1'").select("page_id", "depth", "tag_name", "text")
+
+
+@_query("a1_outline_nodes", f"SELECT page_id, 3 AS depth, 'h1' AS tag_name, left({_H1}, 200) AS text FROM pages")
+def outline_nodes(spark, sf_dir):
+    """The same from the node table, as joins."""
+    return N.outline(P.parse_nodes(pages(spark, sf_dir), KEY), KEY).where("tag_name = 'h1'").select("page_id", "depth", "tag_name", "text")
+
+
+_CHUNKS = f"""
+WITH i AS (SELECT page_id, regexp_extract_all({_NAV}, '<li>.*?</li>', 0, 's') AS t FROM pages),
+r AS (SELECT page_id, unnest(t) AS item, generate_subscripts(t, 1) AS ord FROM i)
+SELECT page_id, CAST((ord - 1) // 2 AS INT) AS index, string_agg(item, '' ORDER BY ord) AS content,
+       CAST(sum(2 + CASE WHEN regexp_matches(item, '<a [^>]*>[^<]') THEN 1 ELSE 0 END) AS INT) AS nodes
+FROM r GROUP BY page_id, (ord - 1) // 2
+"""
+
+
+@_query("a2_chunk_nav_items", _CHUNKS)
+def chunk_nav_items(spark, sf_dir):
+    """List items in chunks of six nodes at most: two items each."""
+    part = F.array_join(F.regexp_extract_all(_slice("<nav>.*?</nav>"), F.lit("(?s)<li>.*?</li>"), F.lit(0)), "")
+    found = pages(spark, sf_dir).select("page_id", F.explode(H.chunk(part, context="ul", max_nodes=6)).alias("c"))
+    return found.select("page_id", "c.index", "c.content", "c.nodes")
+
+
+@_query("a2_chunk")
+def chunk(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.explode(H.chunk("html", max_chars=2000)).alias("c")).select("page_id", "c.*")
+
+
+@_query("a3_counts")
+def counts(spark, sf_dir):
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
+    return nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- patches ----------------------------------------------------------------------------------------------------------
+
+
+def _patched(spark, sf_dir, edits_of) -> DataFrame:
+    docs = pages(spark, sf_dir)
+    edits = edits_of(P.parse_nodes(docs, KEY))
+    return X.compute_patches(docs, edits, KEY)
+
+
+def _edit(targets: DataFrame, kind: str, **fields) -> DataFrame:
+    values = [F.lit(fields.get(n)).cast("string").alias(n) for n in ("name", "value", "html")]
+    return targets.select("page_id", F.lit(0).alias("source_index"), F.lit(kind).alias("kind"), F.col("node_id").alias("target"), *values)
+
+
+def _h1_text(nodes: DataFrame) -> DataFrame:
+    h1 = N.find_all_by_tag_name(nodes, "h1").select("page_id", F.col("node_id").alias("parent_id"))
+    return nodes.where("kind = 'text'").join(h1, ["page_id", "parent_id"])
+
+
+_REPLACED = "regexp_replace(html, '<h1>.*?</h1>', '<h1>A &lt;new&gt; &amp; short title</h1>', 's')"
+
+
+@_query("x1b_patch_replace_h1", f"SELECT page_id, {_REPLACED} AS result FROM pages")
+def patch_replace_h1(spark, sf_dir):
+    return _patched(spark, sf_dir, lambda n: _edit(_h1_text(n), "replaceText", value="A <new> & short title")).select("page_id", "result")
+
+
+def _ads(nodes):
+    return N.find_all_by_attr(nodes, "class", "ad")
+
+
+@_query("x1c_patch_set_attr_ad", "SELECT page_id, replace(replace(html, '<div class=\"ad\">', '<div class=\"x\">'), '<nav>', '<nav data-k=\"a&amp;b\">') AS result FROM pages")
+def patch_set_attr_ad(spark, sf_dir):
+    """One attribute is replaced, and one added elsewhere."""
+    replaced = lambda n: _edit(_ads(n), "setAttr", name="class", value="x")
+    added = lambda n: _edit(N.find_all_by_tag_name(n, "nav"), "setAttr", name="data-k", value="a&b").withColumn("source_index", F.lit(1))
+    return _patched(spark, sf_dir, lambda n: replaced(n).unionByName(added(n))).select("page_id", "result")
+
+
+@_query("x1d_patch_remove_attr_ad", "SELECT page_id, replace(html, '<div class=\"ad\">', '<div>') AS result FROM pages")
+def patch_remove_attr_ad(spark, sf_dir):
+    return _patched(spark, sf_dir, lambda n: _edit(_ads(n), "removeAttr", name="class")).select("page_id", "result")
+
+
+@_query("x1a_patch_remove_node_nav", "SELECT page_id, regexp_replace(html, '<nav>.*?</nav>', '', 's') AS result FROM pages")
+def patch_remove_node_nav(spark, sf_dir):
+    return _patched(spark, sf_dir, lambda n: _edit(N.find_all_by_tag_name(n, "nav"), "removeNode")).select("page_id", "result")
+
+
+@_query("x1e_patch_insert_before_after", "SELECT page_id, replace(replace(html, '<nav>', '<hr><nav>'), '</nav>', '</nav><p>after</p>') AS result FROM pages")
+def patch_insert(spark, sf_dir):
+    nav = lambda n: N.find_all_by_tag_name(n, "nav")
+    both = lambda n: _edit(nav(n), "insertHtmlBefore", html="<hr>").unionByName(_edit(nav(n), "insertHtmlAfter", html="<p>after</p>").withColumn("source_index", F.lit(1)))
+    return _patched(spark, sf_dir, both).select("page_id", "result")
+
+
+@_query("x2_apply_patch_plan", f"SELECT page_id, {_REPLACED} AS result FROM pages")
+def apply_patch_plan(spark, sf_dir):
+    """A plan is applied by Catalyst's own functions."""
+    planned = _patched(spark, sf_dir, lambda n: _edit(_h1_text(n), "replaceText", value="A <new> & short title"))
+    return planned.select("page_id", H.apply_patch_plan("html", "steps").alias("result"))
+
+
+@_query("x3_patch_errors", "SELECT page_id, 'ATTRIBUTE_NOT_FOUND' AS code, 'id' AS detail FROM pages")
+def patch_errors(spark, sf_dir):
+    return _patched(spark, sf_dir, lambda n: _edit(_ads(n), "removeAttr", name="id")).select("page_id", "error.code", "error.detail")
+
+
+# --- budgets and traces -----------------------------------------------------------------------------------------------
+
+
+@_query("b1_budget_permissive", "SELECT page_id, 'maxInputBytes' AS budget, CAST(3000 AS BIGINT) AS \"limit\", length(html) AS actual FROM pages WHERE length(html) > 3000")
+def budget_permissive(spark, sf_dir):
+    return P.budget_errors(pages(spark, sf_dir), KEY, budgets=Budgets(maxInputBytes=3000))
+
+
+@_query("b3_stream_budget", "SELECT page_id, CASE WHEN strlen(html) > 2048 THEN 'maxBufferedBytes' END AS budget FROM pages")
+def stream_budget(spark, sf_dir):
+    chunks = split_bytes(page_bytes(spark, sf_dir), KEY, 1024)
+    return C.assemble(chunks, KEY, budgets=Budgets(maxBufferedBytes=2048)).select("page_id", "budget_error.budget")
+
+
+@_query("b4_trace_kinds")
+def trace_kinds(spark, sf_dir):
+    trace = P.parse_trace(pages(spark, sf_dir), KEY)
+    return trace.groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query("b4_stream_trace", "SELECT page_id, unnest(['decode', 'stream', 'budget', 'token', 'tree-mutation']) AS kind, CAST(unnest([2, 1, 4, 1, 1]) AS BIGINT) AS n FROM pages")
+def stream_trace(spark, sf_dir):
+    trace = C.parse_stream_trace(split_bytes(page_bytes(spark, sf_dir), KEY, 1500), KEY)
+    return trace.where("kind NOT IN ('insertionModeTransition', 'parseError')").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query("b5_trace_bounded", "SELECT page_id, 'maxTraceEvents' AS budget, CAST(5 AS BIGINT) AS \"limit\", CAST(6 AS BIGINT) AS actual FROM pages")
+def trace_bounded(spark, sf_dir):
+    """Traces are cut short where they exceed their budget."""
+    from ..core.budgets import BudgetExceededError
+    from ..core.document import parse
+    from ..operators.arrow import generate
+
+    def over(html):
+        try:
+            parse(html, trace=True, budgets=Budgets(maxTraceEvents=5))
+        except BudgetExceededError as e:
+            return [(e.payload["budget"], e.payload["limit"], e.payload["actual"])]
+        return ()
+
+    return generate(pages(spark, sf_dir), [F.col("html")], KEY, "budget string, `limit` bigint, actual bigint", over)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visible_text(spark, sf_dir)

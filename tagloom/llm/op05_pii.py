@@ -140,9 +140,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     c_e = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= SUPPORT)
     pairs = found.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["value"].alias("value"), t.alias("term"))))))).alias("x"))
     c_et = cut(pairs.groupBy("x.value", "x.term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= SUPPORT))
-    terms = c_et.select("term").distinct()
     words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    c_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
+    c_t = words.groupBy("term").agg(F.count("*").alias("c_t"))
     every = c_et.join(c_e, "value").join(c_t, "term")
     ic = F.log(F.lit(float(n)) / F.col("c_e"))
     pmi = F.log(F.lit(float(n)) * F.col("c_et") / (F.col("c_e") * F.col("c_t")))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, packed, unpacked
 
 #: Characters on each side of a value whose words count as seen with it; share of a value's information; documents.
 CONTEXT, DISCLOSURE, SUPPORT = 60, 0.9, 5
@@ -183,12 +183,12 @@ def _replaced(df: DataFrame, kind: str, pattern: str, where: Column, wanted) ->
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with protected values and disclosing terms replaced by marks; all columns stay."""
     names = docs.columns
-    rows, terms = _with_terms(docs)
-    out = rows.select(*names, "_row").join(terms, "_row", "left")
+    rows, terms = _with_terms(packed(docs))
+    out = rows.select("rest", "text", "_row").join(terms, "_row", "left")
     for kind in KINDS:
         out = _replaced(out, kind, PATTERNS[kind], _maybe(kind, F.col("text")), lambda v, kind=kind: _valid(kind, v))
     out = _replaced(out, "term", TERM, F.col("terms").isNotNull(), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
-    return out.select(*names)
+    return unpacked(out, names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .peers import grouped, whole_groups
 from .segments import slices
-from .shared import cut
+from .shared import cut, packed, unpacked
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: A written key against one comparison of two fingerprints, in time.
@@ -323,9 +323,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
     firsts = prints.groupBy("fp").agg(best.alias("first"))
     kept = cut(rooted.join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")))
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tie": F.xxhash64("text")})
+    marked = packed(docs).withColumns({"_id": F.col("rest.doc_id").cast("long"), "_tie": F.xxhash64("text")})
     stay = marked.join(kept, marked["_id"].eqNullSafe(kept["_id"]) & (marked["_tie"] == kept["_tie"]), "left_semi")
-    return stay.dropDuplicates(["_id", "_tie"]).select(*docs.columns)
+    return unpacked(stay.dropDuplicates(["_id", "_tie"]), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import slices
-from .shared import HashIndex, cut, lower_ascii, mix, runs, span_hashes, utf8
+from .shared import HashIndex, cut, lower_ascii, mix, packed, runs, span_hashes, unpacked, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast.
@@ -172,11 +172,11 @@ def digest(found: DataFrame) -> DataFrame:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without the hit spans; those of which over REMOVE_SHARE of the words are hit are removed."""
     names = docs.columns
-    docs = docs.withColumns({"_words": F.lit(None).cast("long"), "_gone": F.lit(0).cast("long")})
+    docs = packed(docs).withColumns({"_words": F.lit(None).cast("long"), "_gone": F.lit(0).cast("long")})
     for windows in window_sets(benchmark, window, limit):
         if windows.items:
             docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(windows))
-    return docs.select(*names)
+    return unpacked(docs, names)
 
 
 def _clean(docs: DataFrame, held) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import slices
-from .shared import utf8
+from .shared import packed, unpacked, utf8
 
 #: Labelled rows that training uses at most, about; trees, depth, bins, learning rate; score from which a document is good.
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, THRESHOLD = 20_000, 80, 4, 64, 0.15, 0.3
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Boosted, carry: tuple[str, ...] = ("doc_id",))
 
 def keep_good(docs: DataFrame, model: Boosted) -> DataFrame:
     """The documents with a score of THRESHOLD or more, with all their columns."""
-    return score(docs, model, tuple(docs.columns)).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return unpacked(score(packed(docs), model, ("rest", "text")).where(F.col("_score") >= THRESHOLD), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,17 @@ def release(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``text``, and all other columns in a struct ``rest``, so that names an operator uses cannot clash with theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*(others or [F.lit(None).cast("long").alias("doc_id")])).alias("rest"), "text")
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of these names again."""
+    return df.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in names])
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

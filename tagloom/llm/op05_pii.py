@@ -49,6 +49,11 @@ def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda the optimizer would write it out, and so run it, for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -64,8 +69,7 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: p.cast("double") <= 255)
     if kind == "card":
-        digits = _digits(match)
-        return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
+        return _let(_digits(match), lambda d: F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
     return F.lit(True)
@@ -78,11 +82,13 @@ def _running(sizes: Column) -> Column:
         empty = F.array().cast("array<bigint>")
         return F.aggregate(a, empty, lambda acc, x: F.concat(acc, F.array(x + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0).cast("bigint")))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / F.lit(_STEP)).cast("int")), lambda b: F.slice(sizes, b * _STEP + 1, _STEP))
-    inner = F.transform(blocks, plain)
-    outer = plain(F.transform(inner, lambda x: F.element_at(x, -1)))
-    moved = F.transform(inner, lambda x, i: F.transform(x, lambda v: v + F.when(i > 0, F.get(outer, i - 1)).otherwise(F.lit(0).cast("bigint"))))
-    return F.when(F.size(sizes) > 0, F.flatten(moved)).otherwise(F.array().cast("array<bigint>"))
+    def summed(inner: Column) -> Column:
+        before = plain(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(inner, lambda x: F.element_at(x, -1))))
+        return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda x, b: F.transform(x, lambda v: v + b)))
+
+    places = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / F.lit(_STEP)).cast("int"))
+    blocks = F.transform(places, lambda b: plain(F.slice(sizes, b * _STEP + 1, _STEP)))
+    return F.when(F.size(sizes) > 0, _let(blocks, summed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _none(kind: str) -> Column:
@@ -95,13 +101,26 @@ def _matched(df: DataFrame, kind: str, pattern: str, text: str, where: Column) -
     return df.withColumn(f"{kind}_p", F.when(F.size(f"{kind}_m") > 0, F.split(text, pattern, -1)).otherwise(_none("array<string>")))
 
 
+def _before(m: Column, p: Column) -> Column:
+    """The piece before each match."""
+    return F.slice(p, F.lit(1), F.size(m))
+
+
+def _after(m: Column, p: Column) -> Column:
+    return F.slice(p, F.lit(2), F.size(m))
+
+
 def _spans(df: DataFrame, kind: str, wanted) -> DataFrame:
     """Adds <kind>_s: array of (start, end, value) in code points, of matches for which wanted(match) holds."""
     m, p = F.col(f"{kind}_m"), F.col(f"{kind}_p")
-    df = df.withColumn("_l", F.transform(m, lambda x, i: (F.length(F.get(p, i)) + F.length(x)).cast("bigint")))
-    df = df.withColumn("_e", _running(F.col("_l")))
-    made = F.zip_with(m, F.col("_e"), lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("value")))
-    return df.withColumn(f"{kind}_s", F.filter(made, lambda x: wanted(x["value"]))).drop("_l", "_e")
+
+    def spans(x: Column) -> Column:
+        ends = _let(x["sizes"], _running)
+        made = F.zip_with(x["m"], ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+        return F.filter(made, lambda s: wanted(s["value"]))
+
+    sizes = F.zip_with(m, _before(m, p), lambda v, b: (F.length(b) + F.length(v)).cast("bigint"))
+    return df.withColumn(f"{kind}_s", _let(F.struct(m.alias("m"), sizes.alias("sizes")), spans))
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -114,7 +133,11 @@ def _base(docs: DataFrame) -> DataFrame:
 
 def _values(df: DataFrame) -> Column:
     """The protected values of a row, once each."""
-    return F.array_distinct(F.concat(*[F.transform(F.col(f"{k}_s"), lambda s, k=k: F.concat(F.lit(f"{k}:"), s["value"])) for k in KINDS]))
+
+    def named(kind: str) -> Column:
+        return F.transform(F.col(f"{kind}_s"), lambda s: F.concat(F.lit(f"{kind}:"), s["value"]))
+
+    return F.array_distinct(F.concat(*[named(k) for k in KINDS]))
 
 
 def _near(kind: str) -> Column:
@@ -130,8 +153,10 @@ def _near(kind: str) -> Column:
     def whole_right(piece: Column) -> Column:
         return F.when(F.length(piece) > CONTEXT, F.regexp_replace(F.left(piece, F.lit(CONTEXT)), r"(?<!\p{L})\p{L}++$", "")).otherwise(piece)
 
-    pairs = F.transform(m, lambda x, i: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("value"), x.alias("raw"), F.concat(words(whole_left(F.get(p, i))), words(whole_right(F.get(p, i + 1)))).alias("terms")))
-    return F.transform(F.filter(pairs, lambda x: _valid(kind, x["raw"])), lambda x: F.struct(x["value"].alias("value"), x["terms"].alias("terms")))
+    sides = F.zip_with(_before(m, p), _after(m, p), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    found = F.filter(F.zip_with(m, sides, lambda x, s: F.struct(x.alias("raw"), s.alias("s"))), lambda x: _valid(kind, x["raw"]))
+    terms = lambda s: F.concat(words(whole_left(s["left"])), words(whole_right(s["right"])))
+    return F.transform(found, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["raw"]).alias("value"), terms(x["s"]).alias("terms")))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -168,15 +193,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
-    each = [F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*each), ",")
+    def named(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*[named(k) for k in kinds]), ",")
 
 
 def _replaced(df: DataFrame, kind: str, pattern: str, where: Column, wanted) -> DataFrame:
     """text with the wanted matches replaced by the kind's mark."""
     df = _matched(df, kind, pattern, "text", F.coalesce(where, F.lit(False)))
     m, p = F.col(f"{kind}_m"), F.col(f"{kind}_p")
-    parts = F.concat(F.array(F.get(p, F.lit(0))), F.flatten(F.transform(m, lambda x, i: F.array(F.when(wanted(x), F.lit(MARK[kind])).otherwise(x), F.get(p, i + 1)))))
+    parts = F.concat(F.array(F.get(p, F.lit(0))), F.flatten(F.zip_with(m, _after(m, p), lambda x, after: F.array(F.when(wanted(x), F.lit(MARK[kind])).otherwise(x), after))))
     return df.withColumn("text", F.when(F.size(m) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(f"{kind}_m", f"{kind}_p")
 
 

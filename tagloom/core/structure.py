@@ -62,8 +62,8 @@ def chunks(top: list[Node], max_chars: int = 8192, max_nodes: int = 256, max_byt
 NODE_FIELDS = ("node_id", "parent_id", "child_ix", "pre", "pre_end", "depth", "kind", "namespace", "tag_name", "attributes", "value", "name", "public_id", "system_id", "span", "span_provenance")
 
 
-def rows(document: Document) -> list[tuple]:
-    """One tuple of NODE_FIELDS for each node below the root, in document order."""
+def rows(document: Document, with_attributes: bool = True) -> list[list]:
+    """NODE_FIELDS of each node below the root, in document order."""
     spans, offsets = document.spans, document.offsets
     out: list = []
     stack = [(node, 1, i, 0) for i, node in zip(range(len(document.root.children) - 1, -1, -1), reversed(document.root.children), strict=True)]
@@ -84,7 +84,8 @@ def rows(document: Document) -> list[tuple]:
         if kind is ELEMENT:
             tag, namespace = node.tag, node.ns
             own = node.spans or {}
-            attributes = [(k, v, (offsets(own[k][0]), offsets(own[k][1])) if spans and own.get(k) else None) for k, v in node.attrs.items()]
+            if with_attributes:
+                attributes = [(k, v, (offsets(own[k][0]), offsets(own[k][1])) if spans and own.get(k) else None) for k, v in node.attrs.items()]
         elif kind is TEXT:
             value = "".join(node.data)
         elif kind is COMMENT:

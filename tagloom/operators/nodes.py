@@ -37,10 +37,15 @@ def find_all_by_tag_name(nodes: DataFrame, tag: str) -> DataFrame:
     return elements(nodes).where(F.lower("tag_name") == tag.lower())
 
 
+def has_attr(name: str, value: str | None = None) -> Column:
+    """Whether a node has an attribute of exactly that name and, if given, that value."""
+    same = lambda a: (a["name"] == name) if value is None else (a["name"] == name) & (a["value"] == value)
+    return F.exists("attributes", same)
+
+
 def find_all_by_attr(nodes: DataFrame, name: str, value: str | None = None) -> DataFrame:
     """Elements with an attribute of exactly that name and, if given, that value."""
-    same = lambda a: (a["name"] == name) if value is None else (a["name"] == name) & (a["value"] == value)
-    return elements(nodes).where(F.exists("attributes", same))
+    return elements(nodes).where(has_attr(name, value))
 
 
 def with_order(nodes: DataFrame, keys: list[str], name: str = "ord") -> DataFrame:
@@ -84,12 +89,30 @@ def text_content(targets: DataFrame, nodes: DataFrame, keys: list[str]) -> DataF
     return both.select("t.*", own.alias("text"))
 
 
+def text_content_where(nodes: DataFrame, wanted: Column, keys: list[str], fields: tuple[str, ...] = ()) -> DataFrame:
+    """keys, pre, fields, text of the elements for which ``wanted`` holds, in one pass over the nodes.
+
+    Where the node table comes straight from a parser, a join of it with itself would parse twice. Here the texts and the
+    wanted elements of a document meet in one row, which is never larger than the document.
+    """
+    is_text, is_wanted = F.col("kind") == "text", (F.col("kind") == "element") & F.coalesce(wanted, F.lit(False))
+    target = F.struct("pre", "pre_end", *fields)
+    one = nodes.where(is_text | is_wanted).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(is_text, F.struct("pre", "value")))).alias("_texts"), F.collect_list(F.when(is_wanted, target)).alias("_targets")
+    )
+    inside = lambda t: F.filter("_texts", lambda x: (x["pre"] > t["pre"]) & (x["pre"] <= t["pre_end"]))
+    text = lambda t: F.array_join(F.transform(inside(t), lambda x: x["value"]), "")
+    found = one.select(*keys, F.explode(F.transform("_targets", lambda t: F.struct(t.alias("t"), text(t).alias("text")))).alias("_found"))
+    return found.select(*keys, "_found.t.pre", *[F.col(f"_found.t.{c}").alias(c) for c in fields], "_found.text")
+
+
 def outline(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pre, node_id, depth, tag_name, text of headings, sections and articles; text has 200 UTF-16 units at most."""
-    wanted = elements(nodes).where(F.lower("tag_name").rlike(r"\A(?:h[1-6]|section|article)\z"))
+    wanted = F.lower("tag_name").rlike(r"\A(?:h[1-6]|section|article)\z")
     raw = F.encode(F.substring("text", 1, 200), "UTF-16BE")
     cut = F.when(F.octet_length(raw) <= 400, F.substring("text", 1, 200)).otherwise(F.decode(F.substring(raw, 1, 400), "UTF-16BE"))
-    return text_content(wanted, nodes, keys).select(*keys, "pre", "node_id", "depth", "tag_name", cut.alias("text"))
+    found = text_content_where(nodes, wanted, keys, ("node_id", "depth", "tag_name"))
+    return found.select(*keys, "pre", "node_id", "depth", "tag_name", cut.alias("text"))
 
 
 def metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ All are map-only: documents are independent, so no shuffle is needed, whatever t
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..core import encoding
 from ..core.budgets import UNLIMITED, BudgetExceededError, Budgets
 from ..core.document import Document, parse, tokenize
 from ..core.structure import rows
-from .arrow import budget_error, generate
+from .arrow import budget_error, generate, schema_of
 
 
 def _input(column, context) -> list[Column]:
@@ -50,20 +52,26 @@ def _parse(value, context, transport, options) -> Document:
     return document
 
 
-def parse_nodes(df: DataFrame, keys: list[str], html="html", context=None, spans: bool = False, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None) -> DataFrame:
+def parse_nodes(df: DataFrame, keys: list[str], html="html", context=None, spans: bool = False, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """keys and schemas.NODES: one row for each node below the root.
 
+    columns names the ones wanted; others are neither built nor sent to the JVM, which no optimizer rule could see to.
+
     html is a column of text or of bytes, which are sniffed and decoded; context (a name or a column of names) makes
     fragments. node_id is in post-order after the root's 1; pre is the place in document order and pre_end that of the last
     descendant, so b is below a if a.pre < b.pre <= a.pre_end in one document.
     """
     run = _parser(mode, spans=spans, budgets=budgets, transport=transport)
+    names = schema_of(schemas.NODES).names
+    wanted = [n for n in names if columns is None or n in columns]
+    pick = itemgetter(*map(names.index, wanted)) if len(wanted) > 1 else lambda r, i=names.index(wanted[0]): (r[i],)
+    with_attributes = "attributes" in wanted
 
     def nodes(value, name):
         document, _ = run(value, name)
-        return rows(document) if document else ()
+        return map(pick, rows(document, with_attributes)) if document else ()
 
-    return generate(df, _input(html, context), keys, schemas.NODES, nodes)
+    return generate(df, _input(html, context), keys, schemas.subset(schemas.NODES, wanted), nodes)
 
 
 def parse_errors(df: DataFrame, keys: list[str], html="html", context=None, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None) -> DataFrame:

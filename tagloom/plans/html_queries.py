@@ -36,6 +36,11 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+#: Columns of node tables that tag counts and texts need.
+_TAGS = ["kind", "tag_name"]
+_TEXTS = ["pre", "pre_end", "kind", "tag_name", "value"]
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
@@ -88,8 +93,8 @@ def html_source(spark, sf_dir):
 
 @_query("sc2_parse_bytes_title", f"SELECT page_id, {_decoded(_cut('<title>(.*?)</title>'))} AS text FROM pages")
 def parse_bytes_title(spark, sf_dir):
-    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes")
-    return N.text_content(N.find_all_by_tag_name(nodes, "title"), nodes, KEY).select("page_id", "text")
+    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes", columns=_TEXTS)
+    return N.text_content_where(nodes, F.col("tag_name") == "title", KEY).select("page_id", "text")
 
 
 @_query("sc3_stream_reassembly", "SELECT page_id, html AS text, strlen(html) AS bytes_read, 'utf-8' AS encoding, 'meta' AS source FROM pages")
@@ -125,7 +130,7 @@ SELECT page_id, tag_name, count(*) AS n FROM (
 @_query("p1_parse_tag_counts", _TAG_ROWS)
 def parse_tag_counts(spark, sf_dir):
     """Elements of each page by name, but b."""
-    return N.tag_counts(P.parse_nodes(pages(spark, sf_dir), KEY), KEY).where("tag_name <> 'b'")
+    return N.tag_counts(P.parse_nodes(pages(spark, sf_dir), KEY, columns=_TAGS), KEY).where("tag_name <> 'b'")
 
 
 @_query("p1_parse_nodes")
@@ -139,21 +144,21 @@ _FRAGMENT = f"SELECT page_id, len(regexp_extract_all({_NAV}, '<li>')) AS n_li, l
 
 @_query("p2_parse_fragment_nav", _FRAGMENT)
 def parse_fragment_nav(spark, sf_dir):
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body")
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body", columns=_TAGS)
     count = lambda tag: F.count_if(F.col("tag_name") == tag)
     return nodes.groupBy("page_id").agg(count("li").alias("n_li"), count("a").alias("n_a"))
 
 
 @_query("p3_parse_bytes_h1", f"SELECT page_id, {_H1} AS text FROM pages")
 def parse_bytes_h1(spark, sf_dir):
-    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes")
-    return N.text_content(N.find_all_by_tag_name(nodes, "H1"), nodes, KEY).select("page_id", "text")
+    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes", columns=_TEXTS)
+    return N.text_content_where(nodes, F.col("tag_name") == "h1", KEY).select("page_id", "text")
 
 
 @_query("p4_parse_stream_h1", f"SELECT page_id, {_H1} AS text FROM pages")
 def parse_stream_h1(spark, sf_dir):
-    nodes = C.parse_stream_nodes(split_bytes(page_bytes(spark, sf_dir), KEY, 777), KEY)
-    return N.text_content(N.find_all_by_tag_name(nodes, "h1"), nodes, KEY).select("page_id", "text")
+    nodes = C.parse_stream_nodes(split_bytes(page_bytes(spark, sf_dir), KEY, 777), KEY, columns=_TEXTS)
+    return N.text_content_where(nodes, F.col("tag_name") == "h1", KEY).select("page_id", "text")
 
 
 _NO_COMMENT = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
@@ -259,8 +264,8 @@ def inject_meta_charset(spark, sf_dir):
 
 @_query("s4_text_content_h1", f"SELECT page_id, {_H1} AS text FROM pages")
 def text_content_h1(spark, sf_dir):
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
-    return N.text_content(N.find_all_by_tag_name(nodes, "h1"), nodes, KEY).select("page_id", "text")
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, columns=_TEXTS)
+    return N.text_content_where(nodes, F.col("tag_name") == "h1", KEY).select("page_id", "text")
 
 
 @_query("s5_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS as_text, replace(replace(html, '&', '&amp;'), chr(34), '&quot;') AS as_attribute FROM pages")
@@ -299,12 +304,12 @@ def subtree_nodes_nav(spark, sf_dir):
 
 @_query("f1_walk_order")
 def walk_order(spark, sf_dir):
-    return N.walk(P.parse_nodes(pages(spark, sf_dir), KEY), KEY).select("page_id", "pre", "depth", "kind", "tag_name")
+    return N.walk(P.parse_nodes(pages(spark, sf_dir), KEY, columns=["pre", "depth", "kind", "tag_name"]), KEY)
 
 
 @_query("f2_walk_elements_tag_counts", _TAG_ROWS)
 def walk_elements(spark, sf_dir):
-    return N.elements(P.parse_nodes(pages(spark, sf_dir), KEY)).where("tag_name <> 'b'").groupBy("page_id", "tag_name").agg(F.count("*").alias("n"))
+    return N.elements(P.parse_nodes(pages(spark, sf_dir), KEY, columns=_TAGS)).where("tag_name <> 'b'").groupBy("page_id", "tag_name").agg(F.count("*").alias("n"))
 
 
 @_query("f3_find_by_id", "SELECT page_id, 'doctype' AS kind, 'html' AS name FROM pages")
@@ -328,7 +333,7 @@ def find_all_by_tag_a(spark, sf_dir):
 @_query("f5_find_all_by_attr_class_ad", f"SELECT page_id, 'div' AS tag_name, {_decoded(_AD)} AS text FROM pages")
 def find_all_by_attr(spark, sf_dir):
     nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
-    return N.text_content(N.find_all_by_attr(nodes, "class", "ad"), nodes, KEY).select("page_id", "tag_name", "text")
+    return N.text_content_where(nodes, N.has_attr("class", "ad"), KEY, ("tag_name",)).select("page_id", "tag_name", "text")
 
 
 @_query("f6_attribute_value", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
@@ -418,8 +423,8 @@ def outline_headings(spark, sf_dir):
 
 @_query("a1_outline_nodes", f"SELECT page_id, 3 AS depth, 'h1' AS tag_name, left({_H1}, 200) AS text FROM pages")
 def outline_nodes(spark, sf_dir):
-    """The same from the node table, as joins."""
-    return N.outline(P.parse_nodes(pages(spark, sf_dir), KEY), KEY).where("tag_name = 'h1'").select("page_id", "depth", "tag_name", "text")
+    """The same from the node table."""
+    return N.outline(P.parse_nodes(pages(spark, sf_dir), KEY, columns=[*_TEXTS, "node_id", "depth"]), KEY).where("tag_name = 'h1'").select("page_id", "depth", "tag_name", "text")
 
 
 _CHUNKS = f"""
@@ -446,7 +451,7 @@ def chunk(spark, sf_dir):
 
 @_query("a3_counts")
 def counts(spark, sf_dir):
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, columns=["kind"])
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -465,8 +470,8 @@ def _edit(targets: DataFrame, kind: str, **fields) -> DataFrame:
 
 
 def _h1_text(nodes: DataFrame) -> DataFrame:
-    h1 = N.find_all_by_tag_name(nodes, "h1").select("page_id", F.col("node_id").alias("parent_id"))
-    return nodes.where("kind = 'text'").join(h1, ["page_id", "parent_id"])
+    """The text in each h1 that holds nothing else: ids are in post-order, so an only child comes just before its parent."""
+    return N.find_all_by_tag_name(nodes, "h1").where("pre_end = pre + 1").withColumn("node_id", F.col("node_id") - 1)
 
 
 _REPLACED = "regexp_replace(html, '<h1>.*?</h1>', '<h1>A &lt;new&gt; &amp; short title</h1>', 's')"

@@ -23,8 +23,7 @@ EDITS = "array<struct<kind:string,target:int,name:string,value:string,html:strin
 SERIALIZER_TOKENS = "array<struct<type:string,namespace:string,name:string,attributes:array<struct<namespace:string,name:string,value:string>>,data:string,public_id:string,system_id:string>>"
 
 
-def as_struct(ddl: str) -> str:
-    """A table's schema as the type of one of its rows."""
+def _fields(ddl: str) -> list[str]:
     parts, depth, current = [], 0, ""
     for c in ddl:
         depth += {"<": 1, ">": -1}.get(c, 0)
@@ -33,5 +32,14 @@ def as_struct(ddl: str) -> str:
             current = ""
         else:
             current += c
-    parts.append(current.strip())
-    return "struct<" + ",".join(":".join(p.split(" ", 1)) for p in parts) + ">"
+    return [*parts, current.strip()]
+
+
+def as_struct(ddl: str) -> str:
+    """A table's schema as the type of one of its rows."""
+    return "struct<" + ",".join(":".join(p.split(" ", 1)) for p in _fields(ddl)) + ">"
+
+
+def subset(ddl: str, names: list[str]) -> str:
+    """A table's schema with these columns only."""
+    return ", ".join(p for p in _fields(ddl) if p.split(" ", 1)[0] in names)

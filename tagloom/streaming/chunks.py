@@ -18,7 +18,7 @@ from ..core import encoding
 from ..core.budgets import UNLIMITED, BudgetExceededError, Budgets
 from ..functions import html as H
 from ..operators import parse as P
-from ..operators.arrow import generate, spread  # noqa: F401
+from ..operators.arrow import generate
 
 OUTPUT = "text string, encoding string, source string, bytes_read bigint, max_buffered bigint, budget_error string"
 
@@ -30,9 +30,9 @@ def assemble(chunks: DataFrame, keys: list[str], transport: str | None = None, b
     return whole.select(*keys, H.decode_chunks("_chunks", transport, budgets, mode).alias("_d")).select(*keys, "_d.*")
 
 
-def parse_stream_nodes(chunks: DataFrame, keys: list[str], spans: bool = False, **options) -> DataFrame:
+def parse_stream_nodes(chunks: DataFrame, keys: list[str], spans: bool = False, columns: list[str] | None = None, **options) -> DataFrame:
     """Node table of documents in chunks; what :func:`operators.parse.parse_nodes` gives for their bytes."""
-    return P.parse_nodes(assemble(chunks, keys, **options), keys, "text", spans=spans)
+    return P.parse_nodes(assemble(chunks, keys, **options), keys, "text", spans=spans, columns=columns)
 
 
 def parse_stream_trace(chunks: DataFrame, keys: list[str], budgets: Budgets = UNLIMITED, transport: str | None = None) -> DataFrame:

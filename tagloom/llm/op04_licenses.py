@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .op07_decontaminate import Words
 from .segments import slices
-from .shared import HashIndex, mix
+from .shared import HashIndex, documents, mix
 
 SHINGLE, CONTAINMENT, BANDS, MISSED = 5, 0.8, 40, 1e-5
 TEMPLATE_BYTES = 4 << 20
@@ -210,6 +210,6 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents against all templates."""
-    found = licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = licenses(documents(spark, sf_dir))
     spans = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["last"].cast("string")))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))

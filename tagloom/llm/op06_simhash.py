@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .peers import grouped, whole_groups
 from .segments import slices
-from .shared import cut, packed, unpacked
+from .shared import cut, documents, packed, unpacked
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: A written key against one comparison of two fingerprints, in time.
@@ -330,4 +330,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(documents(spark, sf_dir))

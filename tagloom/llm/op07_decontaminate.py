@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import slices
-from .shared import HashIndex, cut, lower_ascii, mix, packed, runs, span_hashes, unpacked, utf8
+from .shared import HashIndex, cut, documents, lower_ascii, mix, packed, runs, span_hashes, table, unpacked, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast.
@@ -225,8 +225,7 @@ def _clean(docs: DataFrame, held) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents against all of benchmark."""
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return digest(contamination(docs, bench))
+    return digest(contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
 _SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

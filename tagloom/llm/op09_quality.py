@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import slices
-from .shared import packed, unpacked, utf8
+from .shared import documents, packed, table, unpacked, utf8
 
 #: Labelled rows that training uses at most, about; trees, depth, bins, learning rate; score from which a document is good.
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, THRESHOLD = 20_000, 80, 4, 64, 0.15, 0.3
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, model: Boosted) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, learnt from the labels."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))

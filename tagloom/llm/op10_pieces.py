@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .op02_token_ids import with_end
 from .segments import SegmentEncoder, _Pool, slices
-from .shared import HashIndex, text_or_empty
+from .shared import HashIndex, documents, text_or_empty
 
 WS = "▁"
 #: Symbols up to which segments share a matrix.
@@ -264,5 +264,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """All documents through piece_bpe_32k.model."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("long"))
     return round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))

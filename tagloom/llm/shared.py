@@ -10,17 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.arrow import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, one is made on this machine, which only a driver that is its own executor may use.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tagloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -54,6 +62,11 @@ def release(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``documents``, dealt over all cores if it has fewer splits than cores; a large one is left as it is split."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``text``, and all other columns in a struct ``rest``, so that names an operator uses cannot clash with theirs."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from . import utf16
 from .budgets import UNLIMITED, Budgets
@@ -50,14 +51,22 @@ class Document:
 
     kind: str
     root: Node
-    errors: list[dict]
-    offsets: utf16.Offsets
+    html: str
+    found: list[tuple[str, int, int]]
     spans: bool = False
     context: str | None = None
     trace: Trace | None = None
     nodes: int = 0
     max_depth: int = 1
-    namespaced: dict = field(default_factory=dict)
+
+    @cached_property
+    def offsets(self) -> utf16.Offsets:
+        return utf16.Offsets(self.html)
+
+    @cached_property
+    def errors(self) -> list[dict]:
+        place = self.offsets
+        return [{"code": "PARSER_ERROR", "parse_error_id": parse_error_id(code), "message": code, "start": place(start), "end": place(end)} for code, start, end in self.found]
 
 
 def number(root: Node) -> tuple[int, int]:
@@ -83,8 +92,11 @@ def number(root: Node) -> tuple[int, int]:
     return following - 1, deepest
 
 
-def parse(html: str, *, context: str | None = None, spans: bool = False, trace: bool = False, budgets: Budgets = UNLIMITED, scripting: bool = True) -> Document:
-    """Parse a document, or with ``context`` the fragment that an element of that name would hold."""
+def parse(html: str, *, context: str | None = None, spans: bool = False, trace: bool = False, budgets: Budgets = UNLIMITED, scripting: bool = True, numbered: bool = True) -> Document:
+    """Parse a document, or with ``context`` the fragment that an element of that name would hold.
+
+    numbered=False leaves out ids and counts, for those who need neither.
+    """
     began = time.monotonic()
     if context is not None:
         context = context.strip(utf16.JS_SPACE).lower()
@@ -102,14 +114,14 @@ def parse(html: str, *, context: str | None = None, spans: bool = False, trace:
     if events:
         events.push("token", count=len(tokenize(html)))
     builder = TreeBuilder(text, context, scripting, spans, trace).run()
-    nodes, depth = number(builder.root)
+    nodes, depth = number(builder.root) if numbered or budgeted or events else (0, 1)
+    document = Document("document" if context is None else "fragment", builder.root, html, builder.errors, spans, context, events, nodes, depth)
     if budgeted:
         budgets.enforce("maxNodes", nodes)
         budgets.enforce("maxDepth", depth)
         budgets.enforce("maxTimeMs", int((time.monotonic() - began) * 1000))
-    offsets = utf16.Offsets(html)
-    errors = [{"code": "PARSER_ERROR", "parse_error_id": parse_error_id(code), "message": code, "start": offsets(start), "end": offsets(end)} for code, start, end in builder.errors]
     if events:
+        offsets, errors = document.offsets, document.errors
         events.push("tree-mutation", nodeCount=nodes, errorCount=len(errors))
         for before, after, kind, name, start, end in builder.modes:
             events.push("insertionModeTransition", fromMode=before, toMode=after, tokenContext={"type": kind, "tagName": name, "startOffset": offsets(start), "endOffset": offsets(end)})
@@ -117,7 +129,35 @@ def parse(html: str, *, context: str | None = None, spans: bool = False, trace:
             events.push("parseError", parseErrorId=e["parse_error_id"], startOffset=e["start"], endOffset=e["end"])
         events.budget("maxNodes", nodes)
         events.budget("maxDepth", depth)
-    return Document("document" if context is None else "fragment", builder.root, errors, offsets, spans, context, events, nodes, depth)
+    return document
+
+
+def soft_tree_errors(root: Node, max_nodes: int | None = None, max_depth: int | None = None, max_attributes: int | None = None, max_attribute_units: int | None = None) -> list[str]:
+    """Codes of the limits a tree goes beyond, once for each node that does; nothing is raised.
+
+    Here nodes are counted without the root and top nodes have depth 0; an element's attributes are looked at after its
+    children.
+    """
+    out: list[str] = []
+    count = 0
+    stack: list[tuple[Node, int, bool]] = [(node, 0, False) for node in reversed(root.children)]
+    while stack:
+        node, depth, left = stack.pop()
+        if left:
+            if max_attributes is not None and len(node.attrs) > max_attributes:
+                out.append("max-attributes-per-element-exceeded")
+            if max_attribute_units is not None and sum(utf16.length(k) + utf16.length(v) for k, v in node.attrs.items()) > max_attribute_units:
+                out.append("max-attribute-bytes-exceeded")
+            continue
+        count += 1
+        if max_depth is not None and depth > max_depth:
+            out.append("max-depth-exceeded")
+        if max_nodes is not None and count > max_nodes:
+            out.append("max-nodes-exceeded")
+        if node.kind is ELEMENT:
+            stack.append((node, depth, True))
+            stack += [(child, depth + 1, False) for child in reversed(node.children)]
+    return out
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------

@@ -16,9 +16,12 @@ BREAKING = words(
     "tbody thead tfoot ul"
 )
 _RUN = re.compile(r"[ \t\n\f\r]+")
+_NOT_BLANK = re.compile(r"[\t\n\f\r]|  ")
 _JS_SPACES = re.compile(f"[{utf16.JS_SPACE}]+")
 #: What the finished text drops, in this order; linear however long a run is.
 _CLEAN = tuple(map(re.compile, (r"(?<![ \t\f])[ \t\f]+(?=\n)", r"(?<=\n)[ \t\f]+", r"(?<=\n\n)\n+", r"(?<= ) +", r"(?<=\t)\t+")))
+#: Without one of these in it, a text has nothing of the kind to drop.
+_SIGNS = ((" \n", "\t\n", "\f\n"), ("\n ", "\n\t", "\n\f"), ("\n\n\n",), ("  ",), ("\t\t",))
 _TOKEN = re.compile(r"\n\n|\n|\t|[^\n\t]+")
 BREAK_KINDS = {"\n\n": "paragraphBreak", "\n": "lineBreak", "\t": "tab"}
 
@@ -75,7 +78,9 @@ def _hidden(node: Node) -> bool:
 
 
 def _segment(value: str, keep: bool) -> str:
-    return value.replace("\r\n", "\n").replace("\r", "\n") if keep else _RUN.sub(" ", value)
+    if keep:
+        return value.replace("\r\n", "\n").replace("\r", "\n") if "\r" in value else value
+    return _RUN.sub(" ", value) if _NOT_BLANK.search(value) else value
 
 
 def pieces(top: list[Node], options: TextOptions = DEFAULTS, parse_fragment=None) -> list[tuple[str, Node, str]]:
@@ -166,8 +171,9 @@ def _trimmed(text: str, trim: bool) -> str:
 def clean(text: str, trim: bool = True) -> str:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    for pattern in _CLEAN:
-        text = pattern.sub("", text)
+    for pattern, signs in zip(_CLEAN, _SIGNS, strict=True):
+        if any(sign in text for sign in signs):
+            text = pattern.sub("", text)
     return _trimmed(text, trim)
 
 

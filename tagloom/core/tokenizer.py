@@ -54,48 +54,47 @@ class Tokenizer:
 
     def input_errors(self) -> None:
         """Characters that should not be in the input at all."""
-        if not self.text.isascii() or _BAD_INPUT.search(self.text):
+        if _BAD_INPUT.search(self.text):
             for m in _BAD_INPUT.finditer(self.text):
                 code = ord(m.group())
                 kind = "surrogate-in-input-stream" if 0xD800 <= code < 0xE000 else "control-character-in-input-stream" if code < 0xA0 else "noncharacter-in-input-stream"
                 self.sink.error(kind, m.start(), m.start() + 1)
 
     def run(self) -> None:
-        text, sink, size = self.text, self.sink, self.size
-        while self.at < size:
+        text, size, characters = self.text, self.size, self.sink.characters
+        plain_tag, plain_text = _PLAIN_TAG.match, _TEXT.match
+        while (at := self.at) < size:
             if self.state is not DATA:
                 self._raw()
                 continue
-            at = self.at
             c = text[at]
             if c == "<":
-                m = _PLAIN_TAG.match(text, at)
-                if m and self._plain(m):
-                    continue
-                self._markup(at)
+                m = plain_tag(text, at)
+                if not (m and self._plain(m)):
+                    self._markup(at)
             elif c == "&":
                 value, self.at = reference(text, at, False, size, self._error)
-                sink.characters(value, at, self.at)
+                characters(value, at, self.at)
             else:
-                end = _TEXT.match(text, at).end()
-                self.at = end
-                sink.characters(text[at:end], at, end)
+                self.at = end = plain_text(text, at).end()
+                characters(text[at:end], at, end)
 
     def _error(self, code: str, place: int) -> None:
         self.sink.error(code, place, place)
 
     def _plain(self, m: re.Match) -> bool:
         close, name, body, slash = m.groups()
-        name = lower(name)
+        name = name.lower()
         attrs, spans = {}, None
         if body:
             if close:
                 return False
             for a in _PLAIN_ATTR.finditer(self.text, m.start(3), m.end(3)):
-                key = lower(a.group(1))
+                key, quoted, single = a.groups()
+                key = key.lower()
                 if key in attrs:
                     return False
-                attrs[key] = a.group(2) if a.group(2) is not None else a.group(3)
+                attrs[key] = single if quoted is None else quoted
                 if self.spans:
                     spans = spans or {}
                     spans[key] = a.span()

@@ -6,6 +6,8 @@ closed them; elements that no tag of the input opened have none.
 
 from __future__ import annotations
 
+import re
+
 from .tokenizer import DATA, PLAINTEXT, RAWTEXT, RCDATA, SCRIPT, Tag, Tokenizer, lower
 
 HTML, SVG, MATH = "html", "svg", "math"
@@ -103,6 +105,7 @@ QUIRKS_PREFIXES = (
 )
 QUIRKS_IDS = ("-//w3o//dtd w3 html strict 3.0//en//", "-/w3c/dtd html 4.0 transitional/en", "html")
 MARKER = None
+_TAG = re.compile(r"[a-z][^\t\n\f\r />\0]*\Z")
 
 
 class TreeBuilder:
@@ -127,7 +130,9 @@ class TreeBuilder:
         self.context = None
         self.hollow: list[Node] = []
         if self.fragment:
-            self.context = Node(ELEMENT, context)
+            if context in ("frame", "image") or not _TAG.match(context):  # no element of that name can be parsed
+                context = "template"
+            self.context = Node(ELEMENT, context, {"svg": SVG, "math": MATH}.get(context, HTML), {})
             self._begin_fragment(context)
         cls = type(self)
         table = _HANDLERS.setdefault(cls, {})
@@ -198,7 +203,7 @@ class TreeBuilder:
         self.where = (start, end)
         before = self.mode
         stack = self.stack
-        if stack and stack[-1].ns != HTML and self._foreign_for(None, text):
+        if stack and (stack[-1].ns is not HTML or self.fragment) and self._foreign_for(None, text):
             self._foreign_characters(text, start, end)
         else:
             self.handlers["c_" + before](self, text, start, end)
@@ -209,7 +214,8 @@ class TreeBuilder:
         self.skip_newline = False
         self.where = (tag.start, tag.end)
         before = self.mode
-        if self.stack and self._adjusted().ns != HTML and self._foreign_for(tag, None):
+        stack = self.stack
+        if stack and (stack[-1].ns is not HTML or self.fragment) and self._foreign_for(tag, None):
             self._foreign_start(tag)
         else:
             self.handlers["s_" + before](self, tag)
@@ -223,7 +229,7 @@ class TreeBuilder:
         self.where = (tag.start, tag.end)
         self.closing = tag
         before = self.mode
-        if self.stack and self._adjusted().ns != HTML:
+        if self.stack and (self.stack[-1].ns is not HTML or self.fragment) and self._adjusted().ns != HTML:
             self._foreign_end(tag)
         else:
             self.handlers["e_" + before](self, tag)

@@ -28,8 +28,8 @@ def _fragment(raw: str):
     return parse(raw, context="body").root.children
 
 
-def _top(html: str, context: str | None):
-    return parse(html, context=context).root.children
+def _top(html: str, context: str | None, numbered: bool = False):
+    return parse(html, context=context, numbered=numbered).root.children
 
 
 # --- bytes and encodings ----------------------------------------------------------------------------------------------
@@ -73,7 +73,7 @@ def visible_text_sourced(html, context: str | None = None, **options) -> Column:
     """array<struct<kind,value,source_node_id,source_node_kind,source_role>>: visible-text tokens with their sources."""
     chosen = text.TextOptions(**options)
     kind = "array<struct<kind:string,value:string,source_node_id:int,source_node_kind:string,source_role:string>>"
-    return _one(kind, lambda h: text.sourced_tokens(_top(h, context), chosen, _fragment), html)
+    return _one(kind, lambda h: text.sourced_tokens(_top(h, context, True), chosen, _fragment), html)
 
 
 def visible_text_tokens(visible) -> Column:
@@ -84,19 +84,19 @@ def visible_text_tokens(visible) -> Column:
 
 
 def text_content(html, context: str | None = None) -> Column:
-    return _one("string", lambda h: text.text_content(parse(h, context=context).root), html)
+    return _one("string", lambda h: text.text_content(parse(h, context=context, numbered=False).root), html)
 
 
 # --- structure --------------------------------------------------------------------------------------------------------
 
 
 def outline(html) -> Column:
-    return _one("array<struct<node_id:int,depth:int,tag_name:string,text:string>>", lambda h: structure.outline(_top(h, None)), html)
+    return _one("array<struct<node_id:int,depth:int,tag_name:string,text:string>>", lambda h: structure.outline(_top(h, None, True)), html)
 
 
 def chunk(html, context: str | None = None, max_chars: int = 8192, max_nodes: int = 256, max_bytes: int | None = None) -> Column:
     """array<struct<index,node_id,content,nodes>>."""
-    return _one(f"array<{schemas.as_struct(schemas.CHUNKS)}>", lambda h: structure.chunks(_top(h, context), max_chars, max_nodes, max_bytes), html)
+    return _one(f"array<{schemas.as_struct(schemas.CHUNKS)}>", lambda h: structure.chunks(_top(h, context, True), max_chars, max_nodes, max_bytes), html)
 
 
 def serialize_html(html, context: str | None = None, style: str = "plain") -> Column:

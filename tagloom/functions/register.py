@@ -20,10 +20,10 @@ def _text_tokens(html: str):
 
 
 SCALARS = {
-    "html_visible_text": ("string", lambda h: text.visible_text(parse(h).root.children, text.DEFAULTS, _fragment)),
-    "html_text_content": ("string", lambda h: text.text_content(parse(h).root)),
-    "html_serialize": ("string", lambda h: serialize.serialize(parse(h).root.children)),
-    "html_tree": ("string", lambda h: serialize.dump(parse(h).root.children)),
+    "html_visible_text": ("string", lambda h: text.visible_text(parse(h, numbered=False).root.children, text.DEFAULTS, _fragment)),
+    "html_text_content": ("string", lambda h: text.text_content(parse(h, numbered=False).root)),
+    "html_serialize": ("string", lambda h: serialize.serialize(parse(h, numbered=False).root.children)),
+    "html_tree": ("string", lambda h: serialize.dump(parse(h, numbered=False).root.children)),
 }
 BINARY_SCALARS = {
     "html_encoding": ("string", lambda b: encoding.sniff(bytes(b))[0]),

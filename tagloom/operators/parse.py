@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..core import encoding
 from ..core.budgets import UNLIMITED, BudgetExceededError, Budgets
-from ..core.document import Document, parse, tokenize
+from ..core.document import Document, parse, soft_tree_errors, tokenize
 from ..core.structure import rows
 from .arrow import budget_error, generate, schema_of
 
@@ -85,6 +85,17 @@ def parse_errors(df: DataFrame, keys: list[str], html="html", context=None, budg
     return generate(df, _input(html, context), keys, schemas.ERRORS, errors)
 
 
+def soft_limit_errors(df: DataFrame, keys: list[str], html="html", context=None, **limits) -> DataFrame:
+    """keys, parse_error_id, n: limits that trees go beyond, and at how many nodes; limits as in core.document.soft_tree_errors."""
+
+    def errors(value, name):
+        from collections import Counter
+
+        return Counter(soft_tree_errors(parse(value, context=name, numbered=False).root, **limits)).items()
+
+    return generate(df, _input(html, context), keys, "parse_error_id string, n bigint", errors)
+
+
 def trace_row(e: dict) -> tuple:
     c = e.get("tokenContext")
     context = (c["type"], c["tagName"], c["startOffset"], c["endOffset"]) if c else None

@@ -113,6 +113,20 @@ def transport_label(spark, sf_dir):
     return page_bytes(spark, sf_dir).select("page_id", H.sniff_encoding("bytes", ' "ISO-8859-1" ').alias("e")).select("page_id", "e.encoding", "e.source")
 
 
+@_query("sc4a_byte_order_mark", "SELECT page_id, 'utf-8' AS encoding, 'bom' AS source, html AS text FROM pages")
+def byte_order_mark(spark, sf_dir):
+    marked = page_bytes(spark, sf_dir).select("page_id", F.concat(F.unhex(F.lit("EFBBBF")), "bytes").alias("bytes"))
+    return marked.select("page_id", H.decode_html("bytes", "koi8-r").alias("d")).select("page_id", "d.encoding", "d.source", "d.text")
+
+
+@_query("sc4c_meta_prescan", "SELECT page_id, 'koi8-r' AS encoding, 'meta' AS source FROM pages")
+def meta_prescan(spark, sf_dir):
+    """A declaration in a comment does not count, one in an http-equiv does, and comes before the page's own."""
+    head = F.lit('<!-- <meta charset=big5> --><meta http-equiv="Content-Type" content="text/html; charset=koi8-r">')
+    data = pages(spark, sf_dir).select("page_id", F.encode(F.concat(head, "html"), "UTF-8").alias("bytes"))
+    return data.select("page_id", H.sniff_encoding("bytes").alias("e")).select("page_id", "e.encoding", "e.source")
+
+
 @_query("sc5_decode_bytes", "SELECT page_id, html AS text FROM pages")
 def decode_bytes(spark, sf_dir):
     return page_bytes(spark, sf_dir).select("page_id", H.decode_html("bytes")["text"].alias("text"))
@@ -195,6 +209,34 @@ def tokenize_stream_counts(spark, sf_dir):
     return tokens.where("kind <> 'chars'").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
+_LANG = _cut('<html lang="([^"]*)"')
+
+
+def _lang():
+    return F.regexp_extract("html", '<html lang="([^"]*)"', 1)
+
+
+@_query("p5c_xml_violations", f"SELECT page_id, 'x- -' || {_LANG} AS value FROM pages")
+def xml_violations(spark, sf_dir):
+    part = F.concat(F.lit("<!--x--"), _lang(), F.lit("-->"))
+    tokens = P.tokenize_html(pages(spark, sf_dir).select("page_id", part.alias("part")), KEY, "part", xml_violations=True)
+    return tokens.where("kind = 'comment'").select("page_id", "value")
+
+
+@_query("p9_select_adoption", f"SELECT page_id, '<html><head></head><body><select><b><option>' || {_LANG} || '</option></b></select><b><option></option></b>z</body></html>' AS html FROM pages")
+def select_adoption(spark, sf_dir):
+    part = F.concat(F.lit("<select><option>"), _lang(), F.lit("</option></select><option>z</option>"))
+    return pages(spark, sf_dir).select("page_id", H.serialize_html(part).alias("html"))
+
+
+_NAV_NODES = f"(2 + 2 * len(regexp_extract_all({_NAV}, '<li>')) + len(regexp_extract_all({_NAV}, '<a [^>]*>[^<]')))"
+
+
+@_query("p11_soft_tree_limits", f"SELECT page_id, 'max-nodes-exceeded' AS parse_error_id, {_NAV_NODES} - 12 AS n FROM pages WHERE {_NAV_NODES} > 12")
+def soft_tree_limits(spark, sf_dir):
+    return P.soft_limit_errors(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body", max_nodes=12, max_depth=9)
+
+
 @_query("p7_character_references", f"SELECT page_id, {_decoded(_cut('<footer>([^<]*)'))} AS text FROM pages WHERE html LIKE '%</footer>%'")
 def character_references(spark, sf_dir):
     whole = pages(spark, sf_dir).where(F.col("html").contains("</footer>"))
@@ -255,6 +297,15 @@ def serialize_tokens_nav(spark, sf_dir):
     return _serializer_tokens(part, KEY).select("page_id", H.serialize_tokens("tokens", quote_char="'", quote_attr_values=True).alias("html"))
 
 
+@_query("s3e_serialize_tokens_whitespace", f"SELECT page_id, '<!DOCTYPE html PUBLIC \"a\" \"b\"><div class=ad>' || regexp_replace({_AD}, '[ \\t\\n\\f\\r]+', ' ', 'g') || '</div>' AS html FROM pages WHERE NOT regexp_matches({_AD}, '[&>]')")
+def serialize_tokens_whitespace(spark, sf_dir):
+    """Doctypes with both ids, and white space collapsed outside elements that keep it."""
+    ad = F.regexp_extract("html", '(?s)<div class="ad">(.*?)</div>', 1)
+    part = F.concat(F.lit("<!doctype html public 'a' 'b'><div class=ad>"), ad, F.lit("</div>"))
+    plain = pages(spark, sf_dir).where(~ad.rlike("[&>]")).select("page_id", part.alias("part"))
+    return _serializer_tokens(plain, KEY).select("page_id", H.serialize_tokens("tokens", strip_whitespace=True).alias("html"))
+
+
 @_query("s3d_inject_meta_charset", f"SELECT page_id, '<meta charset=koi8-r>' || {_cut('<title>.*?</title>', 0)} AS html FROM pages")
 def inject_meta_charset(spark, sf_dir):
     """A head whose declaration of the encoding is rewritten; its own tags may go."""
@@ -293,7 +344,7 @@ def metrics(spark, sf_dir):
     return P.document_metrics(pages(spark, sf_dir), KEY).drop("budget_error")
 
 
-@_query("s8_subtree_nodes_nav", f"SELECT page_id, 2 + 2 * len(regexp_extract_all({_NAV}, '<li>')) + len(regexp_extract_all({_NAV}, '<a [^>]*>[^<]')) AS subtree_nodes FROM pages")
+@_query("s8_subtree_nodes_nav", f"SELECT page_id, {_NAV_NODES} AS subtree_nodes FROM pages")
 def subtree_nodes_nav(spark, sf_dir):
     nodes = N.subtree_size(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "nav"))
     return nodes.select("page_id", F.col("subtree_nodes").cast("long").alias("subtree_nodes"))
@@ -365,6 +416,18 @@ def visible_text_no_trim(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", H.visible_text("html", trim=False).alias("text"))
 
 
+@_query("v1e_control_values", f"SELECT page_id, {_LANG} || {_LANG} || 'x' AS text FROM pages")
+def control_values(spark, sf_dir):
+    part = F.concat(F.lit('<img alt="'), _lang(), F.lit('"><input type=submit value="'), _lang(), F.lit('"><input value=no><button value=x>y</button><select><option>z</select>'))
+    return pages(spark, sf_dir).select("page_id", H.visible_text(part).alias("text"))
+
+
+@_query("v1g_noscript_markup", f"SELECT page_id, 'a' || chr(10) || {_LANG} AS text FROM pages")
+def noscript_markup(spark, sf_dir):
+    part = F.concat(F.lit("<body>a<noscript><p>"), _lang(), F.lit("</p></noscript>"))
+    return pages(spark, sf_dir).select("page_id", H.visible_text(part).alias("text"))
+
+
 @_query("v1f_accessible_names", f"""SELECT page_id, {_decoded(_cut('href="([^"]*)"'))} AS text FROM pages""")
 def accessible_names(spark, sf_dir):
     part = F.concat(F.lit('<input aria-label="'), F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit('">'))
@@ -523,6 +586,13 @@ def patch_errors(spark, sf_dir):
     return _patched(spark, sf_dir, lambda n: _edit(_ads(n), "removeAttr", name="id")).select("page_id", "error.code", "error.detail")
 
 
+@_query("x3_patch_touching_edits", "SELECT page_id, 'INVALID_PLAN' AS code, 'invalid patch insertion offset' AS detail FROM pages")
+def patch_touching_edits(spark, sf_dir):
+    """An insertion right behind a replacement has no slice to stand after."""
+    both = lambda n: _edit(_ads(n), "setAttr", name="class", value="x").unionByName(_edit(_ads(n), "setAttr", name="k", value="v").withColumn("source_index", F.lit(1)))
+    return _patched(spark, sf_dir, both).select("page_id", "error.code", "error.detail")
+
+
 # --- budgets and traces -----------------------------------------------------------------------------------------------
 
 
@@ -531,6 +601,12 @@ def budget_permissive(spark, sf_dir):
     return P.budget_errors(pages(spark, sf_dir), KEY, budgets=Budgets(maxInputBytes=3000))
 
 
+@_query("b2_budget_nodes", f"SELECT page_id, 'maxNodes' AS budget, CAST(20 AS BIGINT) AS \"limit\", {_NAV_NODES} + 1 AS actual FROM pages WHERE {_NAV_NODES} + 1 > 20")
+def budget_nodes(spark, sf_dir):
+    """Nodes are counted with the root, after the size of the input and before the depth."""
+    return P.budget_errors(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body", budgets=Budgets(maxInputBytes=10**9, maxNodes=20, maxDepth=9))
+
+
 @_query("b3_stream_budget", "SELECT page_id, CASE WHEN strlen(html) > 2048 THEN 'maxBufferedBytes' END AS budget FROM pages")
 def stream_budget(spark, sf_dir):
     chunks = split_bytes(page_bytes(spark, sf_dir), KEY, 1024)

@@ -204,10 +204,11 @@ class _Collector:
 TOKEN_FIELDS = ("kind", "name", "attributes", "self_closing", "value", "public_id", "system_id", "force_quirks")
 
 
-def tokenize(html: str, state: str = DATA, last_start_tag: str = "", errors: list | None = None, xml_violations: bool = False, double_escaped: bool = False, max_text: int | None = None, max_errors: int | None = None) -> list[tuple]:
+def tokenize(html: str, state: str = DATA, last_start_tag: str = "", errors: list | None = None, xml_violations: bool = False, double_escaped: bool = False, max_text: int | None = None, max_token: int | None = None, max_errors: int | None = None) -> list[tuple]:
     """Tokens as tuples of TOKEN_FIELDS, without a tree's feedback: bodies of script, style or title are markup like any.
 
-    ``errors`` receives (code, place). The last two limits are soft: they add or hold back errors.
+    ``errors`` receives (code, place). The limits are soft: they add or hold back errors. max_text counts all
+    characters, max_token the JSON of one token.
     """
     sink = _Collector()
     sink.foreign = state == "cdata"
@@ -226,12 +227,26 @@ def tokenize(html: str, state: str = DATA, last_start_tag: str = "", errors: lis
         size = sum(utf16.length(t[4]) for t in tokens if t[0] == "chars")
         if max_text is not None and size > max_text:
             errors.append(("max-text-bytes-exceeded", size))
+        if max_token is not None and any(_json_size(t) > max_token for t in tokens):
+            errors.append(("max-token-bytes-exceeded", 0))
     return [*tokens, ("eof", None, None, False, None, None, None, False)]
 
 
 _STATES = ("data", "rcdata", "rawtext", "script", "plaintext", "cdata")
 
 
+def _json_size(token: tuple) -> int:
+    kind, name, attributes, self_closing, value, public, system, quirks = token
+    body = {
+        "startTag": lambda: {"type": "StartTag", "name": name, "attributes": dict(attributes), "selfClosing": self_closing},
+        "endTag": lambda: {"type": "EndTag", "name": name},
+        "chars": lambda: {"type": "Character", "data": value},
+        "comment": lambda: {"type": "Comment", "data": value},
+        "doctype": lambda: {"type": "Doctype", "name": name, "publicId": public, "systemId": system, "forceQuirks": quirks},
+    }[kind]()
+    return utf16.length(json.dumps(body, separators=(",", ":"), ensure_ascii=False))
+
+
 def _restated(token: tuple, html: str, state: str, xml_violations: bool, double_escaped: bool) -> tuple:
     """Character and comment data as the XML-violation and double-escaped modes of conformance cases have them."""
     kind, value = token[0], token[4]

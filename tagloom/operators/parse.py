@@ -85,6 +85,17 @@ def parse_errors(df: DataFrame, keys: list[str], html="html", context=None, budg
     return generate(df, _input(html, context), keys, schemas.ERRORS, errors)
 
 
+def tokenizer_errors(df: DataFrame, keys: list[str], html="html", state: str = "data", last_start_tag: str = "", **limits) -> DataFrame:
+    """keys, pos, parse_error_id, place: what the tokenizer alone finds, and its soft limits max_text, max_token, max_errors."""
+
+    def errors(value, _):
+        found: list = []
+        tokenize(value, state, last_start_tag, errors=found, **limits)
+        return [(i, code, place) for i, (code, place) in enumerate(found)]
+
+    return generate(df, _input(html, None), keys, "pos int, parse_error_id string, place int", errors)
+
+
 def soft_limit_errors(df: DataFrame, keys: list[str], html="html", context=None, **limits) -> DataFrame:
     """keys, parse_error_id, n: limits that trees go beyond, and at how many nodes; limits as in core.document.soft_tree_errors."""
 

@@ -223,6 +223,12 @@ def xml_violations(spark, sf_dir):
     return tokens.where("kind = 'comment'").select("page_id", "value")
 
 
+@_query("p5d_tokenizer_limits", f"SELECT page_id, 'max-text-bytes-exceeded' AS parse_error_id, CAST(length({_AD}) AS INT) AS place FROM pages WHERE NOT contains({_AD}, '&') AND length({_AD}) > 5")
+def tokenizer_limits(spark, sf_dir):
+    ad = _slice('<div class="ad">.*?</div>')
+    return P.tokenizer_errors(pages(spark, sf_dir).where(~ad.contains("&")), KEY, ad, max_text=5).select("page_id", "parse_error_id", "place")
+
+
 @_query("p9_select_adoption", f"SELECT page_id, '<html><head></head><body><select><b><option>' || {_LANG} || '</option></b></select><b><option></option></b>z</body></html>' AS html FROM pages")
 def select_adoption(spark, sf_dir):
     part = F.concat(F.lit("<select><option>"), _lang(), F.lit("</option></select><option>z</option>"))

@@ -60,6 +60,11 @@ def test_soft_limits_and_modes():
     tokenize("abc<a a a>", errors=errors, max_text=2)
     assert [e[0] for e in errors] == ["duplicate-attribute", "max-text-bytes-exceeded"]
     errors.clear()
+    tokenize("<p>", errors=errors, max_token=len('{"type":"StartTag","name":"p","attributes":{},"selfClosing":false}'))
+    assert not errors
+    tokenize("<p>", errors=errors, max_token=60)
+    assert errors == [("max-token-bytes-exceeded", 0)]
+    errors.clear()
     tokenize("<a a a a>", errors=errors, max_errors=1)
     assert len(errors) == 1
     assert brief("a\f<!--b--c-->", xml_violations=True) == ["a ", ("!", "b- -c"), "eof"]

@@ -58,6 +58,7 @@ SCOPE = {(HTML, t) for t in words("applet caption html table td th marquee objec
 SCOPE |= {(MATH, t) for t in MATH_TEXT | {"annotation-xml"}} | {(SVG, t) for t in words("foreignObject desc title")}
 LIST_SCOPE = SCOPE | {(HTML, "ol"), (HTML, "ul")}
 BUTTON_SCOPE = SCOPE | {(HTML, "button")}
+SCOPE_NAMES = {t for _, t in LIST_SCOPE | BUTTON_SCOPE}
 TABLE_SCOPE = {(HTML, t) for t in words("html table template")}
 FOREIGN_SPECIAL = {(MATH, t) for t in MATH_TEXT | {"annotation-xml"}} | {(SVG, t) for t in words("foreignObject desc title")}
 BREAKOUT = words(
@@ -129,6 +130,7 @@ class TreeBuilder:
         self.closing: Tag | None = None
         self.context = None
         self.hollow: list[Node] = []
+        self.open_p = 0  # of the open elements, how many are p: without one, none needs to be looked for
         if self.fragment:
             if context in ("frame", "image") or not _TAG.match(context):  # no element of that name can be parsed
                 context = "template"
@@ -307,6 +309,8 @@ class TreeBuilder:
 
     def _pop(self) -> Node:
         node = self.stack.pop()
+        if node.tag == "p":
+            self.open_p -= 1
         self._set_end(node)
         return node
 
@@ -347,6 +351,8 @@ class TreeBuilder:
             node.parent = parent
             parent.children.append(node)
         self.stack.append(node)
+        if tag.name == "p":
+            self.open_p += 1
         return node
 
     def _void(self, tag: Tag, ns: str = HTML) -> None:
@@ -357,6 +363,7 @@ class TreeBuilder:
         node = Node(ELEMENT, name, HTML, {})
         self._insert(node)
         self.stack.append(node)
+        self.open_p += name == "p"
         return node
 
     def _text(self, text: str, start: int, end: int) -> None:
@@ -380,9 +387,10 @@ class TreeBuilder:
 
     def _in_scope(self, name: str, scope=SCOPE) -> bool:
         for node in reversed(self.stack):
-            if node.tag == name and node.ns == HTML:
+            tag = node.tag
+            if tag == name and node.ns == HTML:
                 return True
-            if (node.ns, node.tag) in scope:
+            if tag in SCOPE_NAMES and (node.ns, tag) in scope:
                 return False
         return False
 
@@ -434,7 +442,7 @@ class TreeBuilder:
         self._pop_until("p")
 
     def _close_p_in_scope(self) -> None:
-        if self._in_scope("p", BUTTON_SCOPE):
+        if self.open_p and self._in_scope("p", BUTTON_SCOPE):
             self._close_p()
 
     # --- active formatting --------------------------------------------------------------------------------------------
@@ -457,7 +465,7 @@ class TreeBuilder:
         if not formatting:
             return
         entry = formatting[-1]
-        if entry is MARKER or entry[0] in self.stack:
+        if entry is MARKER or entry[0] in self.stack[-8:] or entry[0] in self.stack:
             return
         i = len(formatting) - 1
         on = set(map(id, self.stack))

@@ -19,20 +19,19 @@ def visible_text_sourced(df: DataFrame, keys: list[str], html="html", **options)
     return found.select(*keys, "pos", "t.*")
 
 
-def _words(df: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    return df.select(*keys, F.explode(F.filter(F.split(plain, " "), lambda w: w != "")).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias(name))
+def _words(text: str, first: bool):
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.struct(F.lit(first).alias("first"), w.alias("word")))
 
 
 def token_f1(df: DataFrame, keys: list[str], expected: str, actual: str) -> DataFrame:
     """keys, f1 of the multisets of words of two text columns: 1 if neither has any, 0 if one has none.
 
-    Keys must be unique and not null. Words are counted on each task before they are shuffled.
+    Keys tell rows apart. One pass over the texts; words are counted on each task before they are shuffled.
     """
-    a, b = _words(df, keys, expected, "a"), _words(df, keys, actual, "b")
-    both = a.join(b, [*keys, "word"], "full").groupBy(*keys).agg(
-        F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("both"), F.coalesce(F.sum("a"), F.lit(0)).alias("na"), F.coalesce(F.sum("b"), F.lit(0)).alias("nb")
-    )
-    precision, recall = F.col("both") / F.col("nb"), F.col("both") / F.col("na")
-    f1 = F.when(F.col("na").isNull(), 1.0).when((F.col("na") == 0) | (F.col("nb") == 0) | (F.col("both") == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
-    return df.select(*keys).join(both, keys, "left").select(*keys, f1.alias("f1"))
+    each = df.select(*keys, F.explode_outer(F.concat(_words(expected, True), _words(actual, False))).alias("w"))
+    counts = each.groupBy(*keys, F.col("w.word").alias("_word")).agg(F.count_if("w.first").alias("_a"), F.count_if(~F.col("w.first")).alias("_b"))
+    sums = counts.groupBy(*keys).agg(F.sum(F.least("_a", "_b")).alias("_both"), F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    precision, recall = F.col("_both") / F.col("_nb"), F.col("_both") / F.col("_na")
+    f1 = F.when(F.col("_na") + F.col("_nb") == 0, 1.0).when(F.col("_both") == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    return sums.select(*keys, f1.alias("f1"))

@@ -529,7 +529,7 @@ def counts(spark, sf_dir):
 
 def _patched(spark, sf_dir, edits_of) -> DataFrame:
     docs = pages(spark, sf_dir)
-    edits = edits_of(P.parse_nodes(docs, KEY))
+    edits = edits_of(P.parse_nodes(docs, KEY, columns=["node_id", "pre", "pre_end", "kind", "tag_name", "attributes"]))
     return X.compute_patches(docs, edits, KEY)
 
 

@@ -8,7 +8,10 @@ proportion to their length.
 The method adds terms: words near a protected value, as the corpus shows them. For a value e and a term t,
 PMI(e; t) = log(N c(e,t) / (c(e) c(t))), where c counts documents (for c(e,t), those with t within CONTEXT characters of
 e), and t discloses e by the share PMI(e; t) / IC(e) with IC(e) = log(N / c(e)). Terms that disclose DISCLOSURE or more of
-a value, seen with it in SUPPORT documents at least, are removed wherever they stand in a document that holds the value.
+a value are removed wherever they stand in a document that holds the value. No value or pair is too rare to be measured: the
+share of t's documents that have e near, c(e,t) / c(t), is taken as it is for pairs of SUPPORT documents or more; for rarer
+ones it is shrunk to what chance gives, (c(e,t) + p(e)) / (c(t) + 1) with p(e) = c(e) / N, so that one meeting counts for
+less in a small corpus, where most words are rare, than in a large one.
 All counts are over all documents; pairs are formed only from the bounded surroundings of values, counted after a partial
 count on each task, and joined on keys that the join may split.
 
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, packed, unpacked
 
-#: Characters on each side of a value whose words count as seen with it; share of a value's information; documents.
+#: Characters on each side of a value whose words count as seen with it; share of a value's information; documents of a
+#: pair from which its counts are taken as they are.
 CONTEXT, DISCLOSURE, SUPPORT = 60, 0.9, 5
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns: possessive, and begun only where a match can begin, which leaves the leftmost matches the same.
@@ -162,14 +166,16 @@ def _near(kind: str) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (value, term): terms that disclose a value. found has a row for each document with values: values, near."""
     n = docs.count()
-    c_e = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= SUPPORT)
+    c_e = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c_e"))
     pairs = found.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["value"].alias("value"), t.alias("term"))))))).alias("x"))
-    c_et = cut(pairs.groupBy("x.value", "x.term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= SUPPORT))
+    c_et = cut(pairs.groupBy("x.value", "x.term").agg(F.count("*").alias("c_et")))
     words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     c_t = words.groupBy("term").agg(F.count("*").alias("c_t"))
     every = c_et.join(c_e, "value").join(c_t, "term")
     ic = F.log(F.lit(float(n)) / F.col("c_e"))
-    pmi = F.log(F.lit(float(n)) * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    chance = F.col("c_e") / F.lit(float(n))
+    share = F.when(F.col("c_et") >= SUPPORT, F.col("c_et") / F.col("c_t")).otherwise((F.col("c_et") + chance) / (F.col("c_t") + 1))
+    pmi = F.log(share / chance)
     return cut(every.where((F.col("c_e") < n) & (pmi >= DISCLOSURE * ic)).select("value", "term"))
 
 

@@ -139,6 +139,22 @@ def test_sanitise(spark):
     assert I.sanitise(docs.where("false")).count() == 0
 
 
+def test_terms_of_rare_values(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)) for _ in range(3000)]
+    texts[7] = "alpha beta Zelenka ze@mail.example.org gamma " + "delta " * 20 + "Faraway"
+    for i in (20, 30, 40):
+        texts[i] = f"beta Ormond or@mail.example.org gamma {i}"
+    texts[50] = "beta Quispe qu@mail.example.org gamma"
+    texts[60:80] = ["Quispe alpha beta"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: [s.value for s in r.term] for r in I.find(docs).collect() if r.term}
+    assert found == {7: ["Zelenka"], 20: ["Ormond"], 30: ["Ormond"], 40: ["Ormond"]}
+    got = {r.doc_id: r.text for r in I.sanitise(docs).collect()}
+    assert got[7] == texts[7].replace("Zelenka ze@mail.example.org", "[TERM] [EMAIL]")
+    assert got[50] == "beta Quispe [EMAIL] gamma"
+
+
 def test_query_columns(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a@b.cd and 1.2.3.4"), (2, None)], "doc_id int, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

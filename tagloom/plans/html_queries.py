@@ -198,11 +198,18 @@ def tokenize(spark, sf_dir):
 
 @_query("p5b_tokenize_rcdata", "SELECT page_id, 'chars' AS kind, " + _decoded("html") + " AS value FROM pages WHERE NOT regexp_matches(html, '&amp?($|[^;a])|&am$|&a$|&$') UNION ALL SELECT page_id, 'eof', NULL FROM pages WHERE NOT regexp_matches(html, '&amp?($|[^;a])|&am$|&a$|&$')")
 def tokenize_rcdata(spark, sf_dir):
-    """Pages as the text of an element that knows only references; those that end in a cut reference are left to tests."""
+    """Pages as the text of an element that knows only references, as far as the SQL goes: its filter also leaves out every
+    page with ``&amp;``. :func:`tokenize_rcdata_pages` has all pages."""
     whole = pages(spark, sf_dir).where(~F.col("html").rlike(r"&amp?($|[^;a])|&am$|&a$|&$"))
     return P.tokenize_html(whole, KEY, state="rcdata", last_start_tag="none").select("page_id", "kind", "value")
 
 
+@_query("p5b_tokenize_rcdata_pages")
+def tokenize_rcdata_pages(spark, sf_dir):
+    """All pages as the text of an element that knows only references, also those without a semicolon."""
+    return P.tokenize_html(pages(spark, sf_dir), KEY, state="rcdata", last_start_tag="none").select("page_id", "kind", "value")
+
+
 @_query("p5_tokenize_stream_counts", _TOKENS)
 def tokenize_stream_counts(spark, sf_dir):
     tokens = C.tokenize_stream(split_bytes(page_bytes(spark, sf_dir), KEY, 4096), KEY)

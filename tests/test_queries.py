@@ -20,6 +20,19 @@ def test_query(spark, name):
         assert found == sql_rows(SF, ORACLE_SQL[name])
 
 
+def test_rcdata_of_all_pages(spark, tmp_path):
+    from html import unescape
+
+    texts = ["<p>a &amp; b</p>", "&ampx &amp", "x &am", "&a", "&", "no reference", "&copy; &amp;lt; &middot", "</p>&quot;</none"]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for sf_dir in (str(tmp_path), SF):
+        html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+        found = QUERIES["p5b_tokenize_rcdata_pages"](spark, sf_dir).collect()
+        assert sorted(r.page_id for r in found if r.kind == "eof") == sorted(html)
+        for page_id, text in html.items():
+            assert "".join(r.value for r in found if r.page_id == page_id and r.kind == "chars") == unescape(text)
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 

@@ -10,6 +10,9 @@ The container is Parquet, so that Spark's committer makes files whole or absent
 that Spark writes to will do. Documents are in ascending doc_id order within a part and parts are in order; documents
 with equal ids are ordered by the hash of their text.
 
+Texts are encoded as the library does by default: an added token such as ``<|endoftext|>`` inside a text is one id. A document
+that holds one is encoded whole, all others by segment. With ``added=False`` such a token is text like any other.
+
 Defined cases: a null text is empty and has the end id alone; null ids come first; repeated rows are encoded once each;
 an empty table gives an empty file; other columns are ignored.
 """
@@ -17,10 +20,12 @@ an empty table gives an empty file; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -129,6 +134,32 @@ def encoder(tokenizer_file: str) -> SegmentEncoder:
     return _encoders[tokenizer_file]
 
 
+_added: dict[str, tuple] = {}
+
+
+def encode_with_added(tokenizer_file: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of texts, and len + 1 offsets, where added tokens inside a text are recognised."""
+    if tokenizer_file not in _added:
+        encoder(tokenizer_file)  # sets the environment
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(tokenizer_file)
+        _added[tokenizer_file] = library, [t.content for t in library.get_added_tokens_decoder().values()]
+    library, tokens = _added[tokenizer_file]
+    holds = np.zeros(len(column), bool)
+    for token in tokens:
+        holds |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+    if not holds.any():
+        return encoder(tokenizer_file)(column)
+    ids, offsets = encoder(tokenizer_file)(pc.if_else(pa.array(holds), pa.scalar("", column.type), column))
+    whole = {i: np.array(library.encode(column[i].as_py(), add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(holds).tolist()}
+    parts, sizes, at = [], np.diff(offsets), 0
+    for i, own in whole.items():
+        parts += [ids[at : offsets[i]], own]
+        sizes[i], at = len(own), offsets[i]
+    return np.concatenate([*parts, ids[at:]]), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with the end id after each document, and the documents' lengths."""
     lengths = np.diff(offsets) + 1
@@ -139,12 +170,15 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, lengths
 
 
-def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """Encode (doc_id, text) in ascending doc_id order and write the segments; returns the written table."""
+def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, added: bool = False) -> DataFrame:
+    """Encode (doc_id, text) in ascending doc_id order and write the segments; returns the written table.
+
+    added: whether added tokens inside a text are recognised, as the library does by default.
+    """
 
     def encode(batches):
         part, segment = TaskContext.get().partitionId(), 0
-        own = encoder(tokenizer_file)
+        own = partial(encode_with_added, tokenizer_file) if added else encoder(tokenizer_file)
         waiting: list[tuple[np.ndarray, np.ndarray, list]] = []
 
         def flush():
@@ -222,5 +256,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """All documents through byte_bpe_50k.json with end id 2."""
     import public_tokenizers
 
-    files = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    files = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 2, added=True)
     return token_index(files)

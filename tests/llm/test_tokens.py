@@ -93,6 +93,19 @@ def test_token_files(spark):
     assert op02_token_ids.token_index(op02_token_ids.write_token_files(twice, BYTES, 2)).count() == 3
 
 
+def test_query_recognises_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    texts = [None, *ODD, "one <|endoftext|> two", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y", "<|endoftext|", *random_texts(5, 50)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    at = 0
+    for r, text in zip(sorted(op02_token_ids.query(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id), texts, strict=True):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 50), st.integers(0, 2**32 - 1)), max_size=400), max_size=6))
 def test_blocks_round_trip(docs):

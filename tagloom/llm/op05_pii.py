@@ -22,6 +22,8 @@ gives no rows; other columns are ignored, and passed through by :func:`sanitise`
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +81,16 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _running(sizes: Column) -> Column:
-    """Running sums of an array of longs, in blocks, so that the work stays near linear for long arrays."""
+def _running(sizes: Column, both=operator.add) -> Column:
+    """Running sums (or what both makes of two, of longs from 0 on) of an array of longs, in blocks, so that the work stays near linear for long arrays."""
 
     def plain(a: Column) -> Column:
         empty = F.array().cast("array<bigint>")
-        return F.aggregate(a, empty, lambda acc, x: F.concat(acc, F.array(x + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0).cast("bigint")))))
+        return F.aggregate(a, empty, lambda acc, x: F.concat(acc, F.array(both(x, F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0).cast("bigint"))))))
 
     def summed(inner: Column) -> Column:
         before = plain(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(inner, lambda x: F.element_at(x, -1))))
-        return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda x, b: F.transform(x, lambda v: v + b)))
+        return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda x, b: F.transform(x, lambda v: both(v, b))))
 
     places = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / F.lit(_STEP)).cast("int"))
     blocks = F.transform(places, lambda b: plain(F.slice(sizes, b * _STEP + 1, _STEP)))
@@ -119,7 +121,7 @@ def _spans(df: DataFrame, kind: str, wanted) -> DataFrame:
     m, p = F.col(f"{kind}_m"), F.col(f"{kind}_p")
 
     def spans(x: Column) -> Column:
-        ends = _let(x["sizes"], _running)
+        ends = _let(x["sizes"], lambda sizes: _running(sizes))
         made = F.zip_with(x["m"], ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
         return F.filter(made, lambda s: wanted(s["value"]))
 
@@ -189,12 +191,15 @@ def _with_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, cut(held.join(bad, "value").groupBy("_row").agg(F.collect_set("term").alias("terms")))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, email, ip, card, phone, term): arrays of (start, end, value), base spans and added terms."""
-    rows, terms = _with_terms(docs.select("doc_id", "text"))
+def _with_term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     both = rows.join(terms, "_row", "left")
     both = _matched(both, "term", TERM, "text", F.col("terms").isNotNull())
-    both = _spans(both, "term", lambda v: F.array_contains(F.col("terms"), F.lower(v)))
+    return _spans(both, "term", lambda v: F.array_contains(F.col("terms"), F.lower(v)))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, email, ip, card, phone, term): arrays of (start, end, value), base spans and added terms."""
+    both = _with_term_spans(*_with_terms(docs.select("doc_id", "text")))
     return both.select("doc_id", *[F.col(f"{k}_s").alias(k) for k in (*KINDS, "term")])
 
 
@@ -205,22 +210,51 @@ def _joined(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*[named(k) for k in kinds]), ",")
 
 
-def _replaced(df: DataFrame, kind: str, pattern: str, where: Column, wanted) -> DataFrame:
-    """text with the wanted matches replaced by the kind's mark."""
-    df = _matched(df, kind, pattern, "text", F.coalesce(where, F.lit(False)))
-    m, p = F.col(f"{kind}_m"), F.col(f"{kind}_p")
-    parts = F.concat(F.array(F.get(p, F.lit(0))), F.flatten(F.zip_with(m, _after(m, p), lambda x, after: F.array(F.when(wanted(x), F.lit(MARK[kind])).otherwise(x), after))))
-    return df.withColumn("text", F.when(F.size(m) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(f"{kind}_m", f"{kind}_p")
+def _united(rows: DataFrame, kinds: tuple[str, ...]) -> Column:
+    """(start, end, next, mark): spans of these kinds in order, overlapping ones as one, and where the next begins. The mark
+    is that of the span that begins first, of the longest if several do."""
+
+    def named(kind: str) -> Column:
+        return F.transform(F.col(f"{kind}_s"), lambda s: F.struct(s["start"].cast("bigint").alias("start"), (-s["end"]).cast("bigint").alias("less"), F.lit(MARK[kind]).alias("mark")))
+
+    def heads(x: Column) -> Column:
+        reach = F.concat(F.array(F.lit(0).cast("bigint")), x["ends"])
+        made = F.zip_with(x["spans"], F.slice(reach, F.lit(1), F.size(x["spans"])), lambda s, r: F.struct(s["start"].alias("start"), s["mark"].alias("mark"), r.alias("before")))
+        return F.struct(F.filter(made, lambda h: h["start"] >= h["before"]).alias("heads"), F.element_at(reach, -1).alias("last"))
+
+    def bounded(x: Column) -> Column:
+        n = F.size(x["heads"])
+        ends = F.concat(F.transform(F.slice(x["heads"], F.lit(2), n), lambda h: h["before"]), F.array(x["last"]))
+        nexts = F.concat(F.transform(F.slice(x["heads"], F.lit(2), n), lambda h: h["start"]), F.array(F.length("text").cast("bigint")))
+        both = F.zip_with(ends, nexts, lambda e, n: F.struct(e.alias("end"), n.alias("next")))
+        return F.zip_with(x["heads"], both, lambda h, b: F.struct(h["start"].alias("start"), b["end"].alias("end"), b["next"].alias("next"), h["mark"].alias("mark")))
+
+    spans = F.array_sort(F.concat(*[named(k) for k in kinds]))
+    reached = _let(spans, lambda x: F.struct(x.alias("spans"), _running(F.transform(x, lambda s: -s["less"]), F.greatest).alias("ends")))
+    return _let(_let(reached, heads), bounded)
+
+
+def _marked(text: Column, spans: Column) -> Column:
+    """text with a mark for each of the united spans, cut in blocks, so that the work stays near linear for long texts."""
+
+    def block(some: Column) -> Column:
+        base = F.get(some, F.lit(0))["start"]
+        whole = F.substring(text, (base + 1).cast("int"), (F.element_at(some, -1)["next"] - base).cast("int"))
+        pieces = lambda c: F.array_join(F.transform(some, lambda u: F.concat(u["mark"], F.substring(c, (u["end"] - base + 1).cast("int"), (u["next"] - u["end"]).cast("int")))), "")
+        return _let(whole, pieces)
+
+    places = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / F.lit(_STEP)).cast("int"))
+    blocks = F.transform(places, lambda b: _let(F.slice(spans, b * _STEP + 1, _STEP), block))
+    return F.concat(F.substring(text, F.lit(1), F.get(spans, F.lit(0))["start"].cast("int")), F.array_join(blocks, ""))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with protected values and disclosing terms replaced by marks; all columns stay."""
+    """The documents with the spans that :func:`find` reports replaced by marks, in one pass; all columns stay."""
     names = docs.columns
     rows, terms = _with_terms(packed(docs))
-    out = rows.select("rest", "text", "_row").join(terms, "_row", "left")
-    for kind in KINDS:
-        out = _replaced(out, kind, PATTERNS[kind], _maybe(kind, F.col("text")), lambda v, kind=kind: _valid(kind, v))
-    out = _replaced(out, "term", TERM, F.col("terms").isNotNull(), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
+    out = _with_term_spans(rows, terms)
+    out = out.withColumn("united", F.when(F.greatest(*[F.size(f"{k}_s") for k in (*KINDS, "term")]) > 0, _united(out, (*KINDS, "term"))))
+    out = out.withColumn("text", F.when(F.col("united").isNotNull(), _let(F.col("united"), lambda u: _marked(F.col("text"), u))).otherwise(F.col("text")))
     return unpacked(out, names)
 
 

@@ -155,6 +155,22 @@ def test_terms_of_rare_values(spark):
     assert got[50] == "beta Quispe [EMAIL] gamma"
 
 
+def test_sanitise_cuts_the_spans_that_are_found(spark):
+    texts = ["ring +33.1.42.68.53.00 now", "1.2.3.4@x.yz", "", None, "é +33.1.42.68.53.00, a@b.cd", *random_texts(6, 300), "a@b.cd 1.2.3.4 " * 1500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in I.sanitise(docs).collect()}
+    assert got[0] == "ring [PHONE] now"
+    assert got[1] == "[EMAIL]"
+    for r in I.find(docs).collect():
+        spans = sorted((s.start, -s.end, I.MARK[k]) for k in (*I.KINDS, "term") for s in r[k])
+        out, reach = [], 0
+        for start, end, mark in spans:
+            if start >= reach:
+                out += [texts[r.doc_id][reach:start], mark]
+            reach = max(reach, -end)
+        assert got[r.doc_id] == (None if texts[r.doc_id] is None else "".join(out) + texts[r.doc_id][reach:])
+
+
 def test_query_columns(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a@b.cd and 1.2.3.4"), (2, None)], "doc_id int, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

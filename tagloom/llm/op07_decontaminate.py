@@ -1,9 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of the test items' word windows against every training token window.
 
 Words are maximal runs of ASCII letters, digits and characters beyond ASCII, with A-Z lower-cased; a window is ten
-consecutive words of an item, or all of a shorter item's. Hash hits are verified on the words themselves. The set is
-broadcast only within BROADCAST_BYTES of benchmark text; a larger benchmark is dealt into parts of at most that size,
-each scanned in turn, and the parts' hits are united by document, so nothing larger is ever broadcast or collected.
+consecutive words of an item, or all of a shorter item's. Hash hits are verified on the words themselves. One broadcast
+holds at most SET_BYTES: windows cost WINDOW_BYTES each, and their words are kept once an item. A larger benchmark is
+made distinct, long items are cut into pieces that overlap by a window less one word, and the pieces are dealt by hash into
+parts, more of them until each is within the bound. Every part is scanned over the same texts, the hits are united by
+document, and only then is anything removed, so results do not depend on the number of parts; a part's broadcast is
+destroyed once its hits are written.
 
 Defined cases: null texts and texts without words have no hits; items without words give no window; several rows of one
 item_id are one item; hits of an item whose id is null count as hits but it is not listed; repeated documents are each
@@ -13,17 +16,19 @@ reported; an empty benchmark hits nothing. Columns other than those named are pa
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import slices
-from .shared import HashIndex, cut, documents, lower_ascii, mix, packed, runs, span_hashes, table, unpacked, utf8
+from .shared import HashIndex, cut, documents, lower_ascii, mix, packed, release, runs, span_hashes, table, unpacked, utf8
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast.
-BROADCAST_BYTES = 4 << 20
+#: Bytes of one broadcast set, and of one window in it (hash, place, item, length, index).
+SET_BYTES, WINDOW_BYTES = 32 << 20, 40
 #: A document of which more than this share of words is hit is removed, else its hit spans are.
 REMOVE_SHARE = 0.5
 
@@ -56,50 +61,61 @@ class Words:
 
 
 class WindowSet:
-    """Windows of benchmark items: by length, their hashes, and by words the ids of the items."""
+    """Windows of benchmark items: by length, their hashes in order, and for each the places in the items' words."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.items: dict[bytes, tuple] = {}
-        hashes: dict[int, set] = {}
-        words = Words(pa.array([t for _, t in items], pa.string()))
-        per_k: dict[int, np.ndarray] = {}
-        for d, (item, _) in enumerate(items):
-            a, b = int(words.first[d]), int(words.first[d + 1])
-            k = min(window, b - a)
-            if k <= 0:
-                continue
-            if k not in per_k:
-                per_k[k] = words.window_hashes(k)
-            for i in range(a, b - k + 1):
-                key = words.key(i, k)
-                hashes.setdefault(k, set()).add(int(per_k[k][i]))
-                self.items[key] = (*self.items.get(key, ()), *([item] if item is not None and item not in self.items.get(key, ()) else []))
-        self.hashes = {k: np.array(sorted(v), np.uint64) for k, v in hashes.items()}
-        self._index: dict[int, HashIndex] | None = None
+        self.names = [item for item, _ in items]
+        self.words = Words(pa.array([t for _, t in items], pa.string()))
+        size = np.diff(self.words.first)
+        lengths = np.minimum(size, window)
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == k)
+            count = size[own] - k + 1
+            item = np.repeat(own, count)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.words.first[own], count)
+            hashes = self.words.window_hashes(k)[at]
+            order = np.lexsort((at, item, hashes))
+            hashes, item, at = hashes[order], item[order], at[order]
+            again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])) + 1
+            keep = np.ones(len(at), bool)
+            keep[[i for i in again.tolist() if self.words.key(int(at[i]), k) == self.words.key(int(at[i - 1]), k)]] = False
+            self.groups[k] = hashes[keep], item[keep].astype(np.int32), at[keep].astype(np.int32)
+        self._index: dict[int, tuple[HashIndex, np.ndarray]] | None = None
 
     def __getstate__(self):
-        return {"items": self.items, "hashes": self.hashes, "_index": None}
+        return {**self.__dict__, "_index": None}
+
+    def items(self, k: int, place: int, key: bytes) -> tuple | None:
+        """The ids of the items that hold this window, of those with the place-th hash; None if no item does."""
+        _, item, at = self.groups[k]
+        first = self._index[k][1]
+        same = [i for i in range(int(first[place]), int(first[place + 1])) if self.words.key(int(at[i]), k) == key]
+        return tuple({self.names[item[i]] for i in same} - {None}) if same else None
 
     def scan(self, words: Words) -> tuple[np.ndarray, list[tuple[int, str]]]:
         """Which words are hit, and (document, item) for each verified window."""
         if self._index is None:
             self._index = {}
-            for k, v in self.hashes.items():
-                self._index[k] = HashIndex(12)
-                self._index[k].add(v)
+            for k, (hashes, _, _) in self.groups.items():
+                distinct, first = np.unique(hashes, return_index=True)
+                index = HashIndex(12)
+                index.add(distinct)
+                self._index[k] = index, np.append(first, len(hashes))
         hit = np.zeros(len(words.starts) + 1, np.int32)
         found: set[tuple[int, str]] = set()
-        seen: dict[bytes, tuple | None] = {}
-        for k, index in self._index.items():
-            at = np.flatnonzero(index.find(words.window_hashes(k)) >= 0)
+        seen: dict[tuple[int, bytes], tuple | None] = {}
+        for k, (index, _) in self._index.items():
+            places = index.find(words.window_hashes(k))
+            at = np.flatnonzero(places >= 0)
             if not len(at):
                 continue
             doc = np.searchsorted(words.first, at, side="right") - 1
             inside = at + k <= words.first[doc + 1]
             for i, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
-                raw = words.data[words.starts[i] : words.ends[i + k - 1]].tobytes()
+                raw = k, words.data[words.starts[i] : words.ends[i + k - 1]].tobytes()
                 if raw not in seen:
-                    seen[raw] = self.items.get(words.key(i, k))
+                    seen[raw] = self.items(k, int(places[i]), words.key(i, k))
                 if (items := seen[raw]) is None:
                     continue
                 hit[i] += 1
@@ -108,21 +124,45 @@ class WindowSet:
         return np.cumsum(hit[:-1]) > 0, sorted(found)
 
 
-def window_sets(benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES):
-    """Window sets of parts of the benchmark, each within the limit (a single longer item is a part by itself)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
-    size, longest = rows.agg(F.sum(F.octet_length("text").cast("long")), F.max(F.octet_length("text"))).first()
-    if (size or 0) <= limit:
-        yield WindowSet([tuple(r) for r in rows.collect()], window)
-        return
-    parts = 2 * -(-size // max(1, limit - min(longest, limit // 2)))
-    dealt = cut(rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))))
-    for p in range(parts):
-        yield WindowSet([tuple(r) for r in dealt.where(F.col("part") == p).select("item", "text").collect()], window)
-
-
-def _scan(docs: DataFrame, key: str, windows: WindowSet) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(windows)
+class Parts:
+    """The benchmark in window sets of at most ``limit`` bytes each."""
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, limit: int = SET_BYTES):
+        self.window, self.pieces, self.count, self.limit = window, None, 1, limit
+        rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
+        bound = F.octet_length("text").cast("long") * (WINDOW_BYTES // 2 + 2)  # a word takes two bytes at least
+        self.rows, total = rows, rows.agg(F.sum(bound)).first()[0] or 0
+        if total <= limit:
+            return
+        # the bound of the bytes may be far off: weigh the words themselves
+        w = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+        words = rows.distinct().select("item", w.alias("w")).where(F.size("w") > 0)
+        step = max(window, limit // (8 * (WINDOW_BYTES + 8)))
+        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+        piece = F.slice("w", F.col("s") + 1, step + window - 1)
+        pieces = words.select("item", "w", F.explode(starts).alias("s")).select("item", F.array_join(piece, " ").alias("text"), F.size(piece).alias("n")).distinct()
+        self.pieces = cut(pieces.select("item", "text", (F.octet_length("text") + F.col("n") * WINDOW_BYTES).cast("long").alias("bytes"), F.xxhash64("item", "text").alias("h")))
+        total, longest = self.pieces.agg(F.sum("bytes"), F.max("bytes")).first()
+        self.limit = limit = max(limit, 8 * (longest or 0))  # if words are very long
+        self.count = max(1, -(-2 * (total or 0) // limit))
+        while self.count > 1 and self.pieces.groupBy(self._part()).agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0] > limit:
+            self.count = -(-self.count * 5 // 4)
+
+    def _part(self):
+        return F.pmod(F.col("h"), F.lit(self.count))
+
+    def __iter__(self):
+        for p in range(self.count):
+            some = self.rows if self.pieces is None else self.pieces.where(self._part() == p)
+            yield WindowSet([tuple(r) for r in some.select("item", "text").distinct().collect()], self.window)
+
+    def close(self) -> None:
+        if self.pieces is not None:
+            release(self.pieces)
+
+
+def _scan(docs: DataFrame, key: str, held, only_hits: bool = False) -> DataFrame:
+    """(key, n_words, hits, items) of each document, or of those with hits only; held is a broadcast WindowSet."""
 
     def run(batches):
         for batch in batches:
@@ -133,29 +173,39 @@ def _scan(docs: DataFrame, key: str, windows: WindowSet) -> DataFrame:
                 hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, words.first), pa.int32()), pa.array(at - words.first[np.searchsorted(words.first, at, side="right") - 1], pa.int64()))
                 docs_found = np.array([d for d, _ in found], np.int64)
                 items = pa.ListArray.from_arrays(pa.array(np.searchsorted(docs_found, np.arange(some.num_rows + 1)), pa.int32()), pa.array([x for _, x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays([some.column(key), pa.array(np.diff(words.first), pa.int64()), hits, items], [key, "n_words", "hits", "items"])
+                out = pa.RecordBatch.from_arrays([some.column(key), pa.array(np.diff(words.first), pa.int64()), hits, items], [key, "n_words", "hits", "items"])
+                yield out.filter(pa.array(hits.value_lengths().to_numpy() > 0)) if only_hits else out
 
     return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, n_words long, hits array<bigint>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
+def _united(rows: DataFrame, parts: Parts) -> DataFrame:
+    """(_row, hits, items) of the rows that any part hits, all parts taken together."""
+    context = rows.sparkSession.sparkContext
+    passes = []
+    for windows in parts:
+        held = context.broadcast(windows)
+        passes.append(cut(_scan(rows, "_row", held, only_hits=True)))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, passes)
+    united = cut(every.groupBy("_row").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")]))
+    for p in passes:
+        release(p)
+    return united
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = SET_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, hits (places of hit words) and items (ids of items with occurring windows)."""
-    parts = window_sets(benchmark, window, limit)
-    first = next(parts)
-    second = next(parts, None)
-    if second is None:
-        return _scan(docs, "doc_id", first)
-    rows = cut(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
-    passes = [cut(_scan(rows, "_row", w)) for w in (first, second)] + [cut(_scan(rows, "_row", w)) for w in parts]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    united = every.groupBy("_row").agg(
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return rows.select("_row", "doc_id").join(united, "_row").drop("_row")
+    parts = Parts(benchmark, window, limit)
+    context = docs.sparkSession.sparkContext
+    if parts.count == 1:
+        return _scan(docs, "doc_id", context.broadcast(next(iter(parts))))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()))
+    counted = _scan(rows, "_row", context.broadcast(WindowSet([], window))).select("_row", "n_words")
+    united = _united(rows, parts)
+    parts.close()
+    found = rows.select("_row", "doc_id").join(counted, "_row").join(united, "_row", "left")
+    return found.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -169,19 +219,73 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents without the hit spans; those of which over REMOVE_SHARE of the words are hit are removed."""
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = SET_BYTES) -> DataFrame:
+    """The documents without the hit spans; those of which over REMOVE_SHARE of the words are hit are removed.
+
+    Where a cut brings the words around it together as a window, that is cut as well, until none is left.
+    """
     names = docs.columns
-    docs = packed(docs).withColumns({"_words": F.lit(None).cast("long"), "_gone": F.lit(0).cast("long")})
-    for windows in window_sets(benchmark, window, limit):
-        if windows.items:
-            docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(windows))
-    return unpacked(docs, names)
+    parts = Parts(benchmark, window, limit)
+    docs = packed(docs)
+    if parts.count == 1:
+        windows = next(iter(parts))
+        return unpacked(_clean(docs, docs.sparkSession.sparkContext.broadcast(windows)), names) if windows.groups else docs.select(*_columns(names))
+    now = cut(docs.withColumns({"_row": F.monotonically_increasing_id(), "_words": F.lit(None).cast("long"), "_gone": F.lit(0).cast("long")}))
+    done = []
+    while True:
+        hits = _united(now, parts)
+        if hits.isEmpty():
+            done.append(now)
+            break
+        done.append(now.join(hits, "_row", "left_anti"))
+        now = cut(_cut_out(now.join(hits.select("_row", "hits"), "_row"), now.schema))
+    parts.close()
+    every = reduce(DataFrame.unionByName, done)
+    return unpacked(every.where(F.col("_gone") <= REMOVE_SHARE * F.coalesce("_words", F.lit(0))), names)
+
+
+def _columns(names: list[str]):
+    return [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in names]
+
+
+def _without(words: Words, hit: np.ndarray, first: int, last: int) -> str:
+    """The text of the document with the words first to last - 1, without the words that are hit."""
+    d = int(np.searchsorted(words.first, first, side="right")) - 1
+    at, end = int(words.offsets[d]), int(words.offsets[d + 1])
+    edge = np.diff(np.concatenate([[0], hit[first:last].astype(np.int8), [0]]))
+    raw, kept = words.raw, []
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        kept.append(raw[at : words.starts[first + a]].tobytes())
+        at = int(words.ends[first + b - 1])
+    kept.append(raw[at:end].tobytes())
+    return b"".join(kept).decode()
+
+
+def _cut_out(docs: DataFrame, schema) -> DataFrame:
+    """Documents with a column hits: the words that are hit cut out and counted."""
+
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, "text"):
+                words = Words(some.column("text"))
+                lists = some.column("hits")
+                size = lists.value_lengths().to_numpy()
+                hit = np.zeros(len(words.starts), bool)
+                hit[lists.flatten().to_numpy() + np.repeat(words.first[:-1], size)] = True
+                texts = [_without(words, hit, int(a), int(b)) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+                columns = {n: some.column(n) for n in schema.names}
+                columns["text"] = pa.array(texts, some.schema.field("text").type)
+                columns["_words"] = pa.array([b if a is None else a for a, b in zip(columns["_words"].to_pylist(), np.diff(words.first).tolist(), strict=True)], pa.int64())
+                columns["_gone"] = pa.array(columns["_gone"].to_numpy() + size)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, schema)
 
 
 def _clean(docs: DataFrame, held) -> DataFrame:
+    """The same for a benchmark in one part: all rounds of a document in one go."""
+
     def clean(text: str) -> tuple[str, int]:
-        """Without hit spans, again until no window is left, and how many words went."""
         gone = 0
         while True:
             words = Words(pa.array([text]))
@@ -189,34 +293,23 @@ def _clean(docs: DataFrame, held) -> DataFrame:
             if not hit.any():
                 return text, gone
             gone += int(hit.sum())
-            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            raw, at, kept = words.raw.tobytes(), 0, []
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                kept.append(raw[at : words.starts[a]])
-                at = int(words.ends[b - 1])
-            kept.append(raw[at:])
-            text = b"".join(kept).decode()
+            text = _without(words, hit, 0, len(hit))
 
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 words = Words(some.column("text"))
                 hit, _ = held.value.scan(words)
-                counts = np.diff(words.first)
-                before = some.column("_words").to_pylist()
-                total = [int(c) if b is None else b for b, c in zip(before, counts, strict=True)]
-                gone = some.column("_gone").to_pylist()
+                total = np.diff(words.first)
                 keep = np.ones(some.num_rows, bool)
                 texts = None
                 for d in np.unique(np.searchsorted(words.first, np.flatnonzero(hit), side="right") - 1).tolist():
                     texts = some.column("text").to_pylist() if texts is None else texts
-                    texts[d], more = clean(texts[d])
-                    gone[d] += more
-                    keep[d] = gone[d] <= REMOVE_SHARE * total[d]
+                    texts[d], gone = clean(texts[d])
+                    keep[d] = gone <= REMOVE_SHARE * total[d]
                 columns = {n: some.column(n) for n in some.schema.names}
                 if texts is not None:
                     columns["text"] = pa.array(texts, some.schema.field("text").type)
-                columns["_words"], columns["_gone"] = pa.array(total, pa.int64()), pa.array(gone, pa.int64())
                 out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 yield out if keep.all() else out.filter(pa.array(keep))
 

@@ -60,7 +60,7 @@ def frames(spark, docs, items):
     return d, spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, part int")
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 700])
+@pytest.mark.parametrize("limit", [D.SET_BYTES, 8000])
 def test_against_brute_force(spark, limit):
     docs, items = fixture()
     d, b = frames(spark, docs, items)
@@ -69,7 +69,7 @@ def test_against_brute_force(spark, limit):
     assert sorted((tuple(r) for r in found), key=repr) == want
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 700])
+@pytest.mark.parametrize("limit", [D.SET_BYTES, 8000])
 def test_removal(spark, limit):
     docs, items = fixture()
     items = [x for x in items if len(words(x[1])) >= 8]
@@ -88,6 +88,27 @@ def test_removal(spark, limit):
             assert i not in left
 
 
+def test_parts_do_not_change_texts(spark):
+    rng = random.Random(5)
+    long = [f"q{rng.randrange(10**6)}" for _ in range(400)]
+    items = [(0, " ".join(f"w{i}" for i in range(12))), (1, " ".join(f"w{i}" for i in range(8, 20))), (2, " ".join(long))] + [(3, "e1 e2 e3 e4 e5 e6 e7 e8 e9 e10")] * 500
+    split = "e1 e2 e3 e4 " + " ".join(f"w{i}" for i in range(12)) + " e5 e6 e7 e8 e9 e10"  # whole again once the middle is cut
+    rest = " ".join(f"r{i}" for i in range(60))
+    docs = [(0, " ".join(f"w{i}" for i in range(20)) + " " + rest), (1, split + " " + rest), (2, " ".join(long[150:260]) + " " + rest * 3), (3, "a  b\n" + rest), (4, split), (5, None)]
+    d, b = frames(spark, docs, items)
+    want = {0: " " + rest, 1: " " + rest, 3: "a  b\n" + rest, 5: None}
+    for limit in (60, 8000, 4 << 20):
+        parts = D.Parts(b, limit=limit)
+        assert (parts.count > 1) == (limit < 4 << 20)
+        if parts.count > 1:  # repeated rows and the long item are dealt, and no part is beyond the limit
+            assert max(len(s.words.raw) + D.WINDOW_BYTES * len(s.words.starts) for s in parts) <= parts.limit
+        got = {r.doc_id: r.text for r in D.remove_contamination(d, b, limit=limit).collect()}
+        assert {k: got.get(k, 0) for k in want} == want and 4 not in got
+        assert len(words(got.get(2, rest * 3))) == len(words(rest * 3))
+        found = D.digest(D.contamination(d, b, limit=limit)).collect()
+        assert sorted((tuple(r) for r in found), key=repr) == sorted(((i, *brute(t, items)) for i, t in docs), key=repr)
+
+
 def test_empty(spark):
     docs, items = fixture()
     d, b = frames(spark, docs, items)

@@ -15,7 +15,7 @@ def _mark(edges: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node that has an edge: root is the least node of its component.
 
-    edges has columns a, b (long). Each step hangs neighbours onto the least one they know, so the number of steps grows
+    edges has columns a, b of one sortable type. Each step hangs neighbours onto the least one they know, so the number of steps grows
     with the logarithm of a component's size. Minima are combined before they are shuffled, and they are written down
     before they are joined, so that the join may split a node with very many neighbours. An empty table gives no rows;
     loops and repeated edges do no harm; edges with nulls are ignored.

@@ -6,7 +6,9 @@ linked pair differs in at most t bits of some partition. Number of partitions an
 and the candidates they are estimated to bring (dynamic programming over bit statistics of all distinct fingerprints). A
 threshold of t bits is probed by one key for each choice of t bits left out, under which pairs within t meet exactly.
 Rows that share a key are verified on all 64 bits and only the edges of a spanning forest leave a group: no pair list of
-a dense group is ever made. Components follow by alternating stars.
+a dense group is ever made. A key that many fingerprints share is split again by the same principle over the bits that it
+leaves free, which pairs within the distance still survive; what is dense even then is compared in blocks. Components
+follow by alternating stars over nodes that sort by their first document, so that a component is known by it at once.
 
 Defined cases: null and empty texts have the fingerprint zero and are linked like any other; equal fingerprints are one
 class however many rows share them; repeated rows and rows with null ids keep their own rows, a null id is never the
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .peers import grouped, whole_groups
+from .peers import BLOCK, grouped, whole_groups
 from .segments import slices
 from .shared import cut, documents, packed, unpacked
 
@@ -32,6 +34,9 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: A written key against one comparison of two fingerprints, in time.
 KEY_COST = 40.0
 SMALL = 24
+#: Masks that splitting hot keys makes at most, about; and what names a node: its least row, whose null id sorts last.
+MASKS = 4096
+NODE = ["none", "id", "tie", "fp"]
 
 
 def fingerprint_batch(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
@@ -190,10 +195,14 @@ def masks(planned: list[tuple[list[int], int]]) -> list[int]:
     for part, t in planned:
         for gone in combinations(part, t):
             mask = sum(1 << b for b in part if b not in gone)
-            out.append(mask - (1 << 64) if mask >> 63 else mask)
+            out.append(_signed(mask))
     return out
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 # --- verifying --------------------------------------------------------------------------------------------------------
 
 
@@ -251,7 +260,7 @@ def _across(fp: np.ndarray, own: np.ndarray, distance: int) -> tuple[list[int],
 
 
 def forest_edges(keyed: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints of a key that are linked."""
+    """Edges (a, b) between nodes (none, id, tie, fp) that connect all fingerprints of a key that are linked."""
 
     def run(batches):
         for table, begins in whole_groups(batches):
@@ -288,41 +297,64 @@ def forest_edges(keyed: DataFrame, distance: int = DISTANCE) -> DataFrame:
             if ours:
                 i, j = np.concatenate(ours).astype(np.int64), np.concatenate(theirs).astype(np.int64)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], ["a", "b"])
-
-    return grouped(keyed, "fp").select("key", "p", "q", "own", "fp").mapInArrow(run, "a long, b long")
-
-
-def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Rows (fp, root) for every distinct fingerprint: root names its component."""
-    distinct = cut(prints.select("fp").distinct())
+                    node = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in NODE], NODE)
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"])
+
+    kind = "struct<none:boolean,id:bigint,tie:bigint,fp:bigint>"
+    return grouped(keyed, "fp").select("key", "p", "q", "own", *NODE).mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def split_hot(keyed: DataFrame, chosen: list[int], distance: int, block: int = BLOCK) -> DataFrame:
+    """keyed with the keys of more than ``block`` fingerprints replaced by finer ones; column t tells a key's mask.
+
+    Two fingerprints within the distance that agree on a mask agree on one of distance + 1 parts of the other bits, too.
+    """
+    while len(chosen) < MASKS:
+        heavy = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("t", "key"))
+        known = sorted(r.t for r in heavy.select("t").distinct().collect())  # of MASKS at most
+        finer = []
+        for t in known:
+            free = [b for b in range(64) if not chosen[t] >> b & 1]
+            if 1 << len(free) > block:
+                for part in range(distance + 1):
+                    finer.append((t, len(chosen), _signed(chosen[t] % (1 << 64) | sum(1 << b for b in free[part :: distance + 1]))))
+                    chosen = [*chosen, finer[-1][2]]
+        if not finer:
+            return keyed
+        table = F.broadcast(keyed.sparkSession.createDataFrame(finer, "t int, t2 int, mask long"))
+        split = heavy.join(table.select("t").distinct(), "t", "left_semi")
+        again = keyed.join(split, ["t", "key"], "left_semi").join(table, "t").select(*NODE, F.col("t2").alias("t"), F.xxhash64("t2", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        keyed = cut(keyed.join(split, ["t", "key"], "left_anti").select(*NODE, "t", "key").unionByName(again))
+    return keyed
+
+
+def classes(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """Rows (none, id, tie, fp, root) for every distinct fingerprint: its least row, and the least node of its component."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "tie"))
+    distinct = cut(prints.groupBy("fp").agg(least.alias("row")).select("row.*", "fp"))
     n, both = bit_statistics(distinct)
+    own = F.struct(*NODE)
     if n < 2:
-        return distinct.select("fp", F.col("fp").alias("root"))
+        return distinct.withColumn("root", own)
     chosen = masks(plan(n, both, distance))
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(chosen)])
-    keyed = cut(distinct.select("fp", F.explode(keys).alias("key")))
-    found = components(forest_edges(keyed, distance))
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for t, m in enumerate(chosen)])
+    keyed = cut(distinct.select(*NODE, F.explode(keys).alias("k")).select(*NODE, "k.t", "k.key"))
+    found = components(forest_edges(split_hot(keyed, chosen, distance, block), distance))
+    found = found.select(F.col("node.fp").alias("_fp"), "root")
+    return distinct.join(found, distinct.fp == found["_fp"], "left").select(*NODE, F.coalesce("root", own).alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id); component_id is the least doc_id reachable over links."""
     prints = cut(fingerprints(docs))
-    rooted = cut(classes(prints))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = rooted.join(firsts, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(rooted.join(named, "root").select("fp", "component_id"))
+    labels = cut(classes(prints).select("fp", F.col("root.id").alias("component_id")))
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each component the row with the least doc_id stays, one of repeated rows."""
     prints = cut(fingerprints(docs))
-    rooted = cut(classes(prints))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
-    firsts = prints.groupBy("fp").agg(best.alias("first"))
-    kept = cut(rooted.join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")))
+    kept = cut(classes(prints).where(F.struct(*NODE) == F.col("root")).select(F.col("id").alias("_id"), F.col("tie").alias("_tie")))
     marked = packed(docs).withColumns({"_id": F.col("rest.doc_id").cast("long"), "_tie": F.xxhash64("text")})
     stay = marked.join(kept, marked["_id"].eqNullSafe(kept["_id"]) & (marked["_tie"] == kept["_tie"]), "left_semi")
     return unpacked(stay.dropDuplicates(["_id", "_tie"]), docs.columns)

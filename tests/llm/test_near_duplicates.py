@@ -119,9 +119,15 @@ def test_pigeonhole_plan_covers_all_pairs():
 def test_dense_groups_are_split(spark):
     rng = random.Random(4)
     fps = sorted({0xF0F0F0F0F0F0F0F0 ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(1500)})
-    keyed = spark.createDataFrame([(f - 2**64 if f >> 63 else f, 5) for f in fps], "fp long, key long")
+    keyed = spark.createDataFrame([(f - 2**64 if f >> 63 else f, f % 1000, 5, False, 0, 0) for f in fps], "fp long, id long, key long, none boolean, tie long, t int")
     from tagloom.llm import peers
 
+    finer = S.split_hot(keyed, [0], 4, block=300)
+    assert finer.groupBy("t", "key").count().agg({"count": "max"}).first()[0] < 1500
+    found = components(S.forest_edges(finer))
+    assert found.select("root").distinct().count() == 1
+    assert found.count() == len(fps)
+
     old, peers.grouped.__defaults__ = peers.grouped.__defaults__, (200,)
     try:
         found = components(S.forest_edges(keyed))
@@ -131,6 +137,18 @@ def test_dense_groups_are_split(spark):
         peers.grouped.__defaults__ = old
 
 
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((400, 24)) * 10.0 ** rng.integers(-30, 30, 400)[:, None]
+    v[::5] = 0
+    v[::5, 3] = 1e-20
+    q, unit, rest = E.sketches(v)
+    u = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    about = (q.astype(float) @ q.T.astype(float)) * unit[:, None] * unit[None, :]
+    bound = rest[:, None] * (1 + rest[None, :]) + rest[None, :] * (1 + rest[:, None]) + rest[:, None] * rest[None, :]
+    assert (np.abs(u @ u.T - about) <= bound + 1e-9).all() and bound.max() < 0.05
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]

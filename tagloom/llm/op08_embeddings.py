@@ -2,8 +2,9 @@
 
 Vectors are normalised and hashed in several tables by k quantised random projections each; width, k and the number of
 tables minimise keys written plus expected far collisions, such that a pair at exactly the threshold meets with
-probability RECALL. Equal vectors of a label are one class, compared once. In a group that shares a key, pairs are checked
-by cosine in double precision. A pair is counted only in the first table in which it meets, so that groups send out a
+probability RECALL. Equal vectors of a label are one class, compared once. What is written under every key is a sketch, the
+components in eight bits with a bound of what the rounding changes; the groups of a key tell which of their vectors may
+have a partner there, with no link missed, and only those are fetched and checked by cosine in double precision. A pair is counted only in the first table in which it meets, so that groups send out a
 count for each vector and the edges of a spanning forest: nothing of the size of all pairs, however dense a group is.
 The projections are integers, and so exact: both sides of that rule see the same keys.
 
@@ -76,33 +77,129 @@ def keys(vectors: np.ndarray, lab: np.ndarray, width: float, k: int, tables: int
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
+    """Rows (cls, label, embedding, id, weight, h, g): equal vectors of a label, with their least id, number and hashes."""
     e = F.col("embedding")
     fit = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     ok = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull()).where(F.coalesce(fit, F.lit(False)))
-    return ok.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    found = ok.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    return found.withColumn("cls", F.monotonically_increasing_id()).selectExpr("*", *_HASHES)
 
 
-def _keyed(classes: DataFrame, width: float, k: int, tables: int) -> DataFrame:
+#: Two hashes of a label and a vector; and a number of label and length, as vectors that differ in either never link.
+_HASHES = "xxhash64(label, embedding) AS h", "xxhash64(1, label, embedding) AS g"
+_LAB = "xxhash64(label, size(embedding)) AS lab"
+
+
+def _by_length(batch: pa.RecordBatch):
+    """(rows, vectors in double precision), some rows of one length at a time."""
+    column = batch.column("embedding").cast(pa.list_(pa.float64()))
+    sizes = column.value_lengths().to_numpy()
+    flat, at = column.flatten().to_numpy(), np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        for some in np.array_split(rows, -(-len(rows) // 512)):
+            yield some, flat[at[some][:, None] + np.arange(dim)]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    size = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrices(column: pa.ChunkedArray, kind: str):
+    """(rows, matrix of their values) for each length of the binary values."""
+    bodies = column.combine_chunks()
+    if isinstance(bodies, pa.ChunkedArray):
+        bodies = bodies.chunk(0)
+    length = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1]
+    raw, length = np.frombuffer(bodies.buffers()[2], np.uint8)[length[0] : length[-1]], length - length[0]
+    for dim in np.unique(np.diff(length)).tolist():
+        rows = np.flatnonzero(np.diff(length) == dim)
+        yield rows, raw.view(kind).reshape(len(bodies), -1) if len(rows) == len(bodies) else np.ascontiguousarray(raw[length[rows][:, None] + np.arange(dim)]).view(kind)
+
+
+def sketches(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components in eight bits, their unit, and a bound of the length of what the rounding leaves, for v made of length 1."""
+    u = v / np.abs(v).max(axis=1)[:, None]
+    u /= np.sqrt((u * u).sum(axis=1))[:, None]
+    unit = (np.abs(u).max(axis=1) / 127).astype(np.float32)
+    q = np.clip(np.rint(u / unit[:, None]), -127, 127)
+    rest = np.sqrt(((u - q * unit[:, None].astype(np.float64)) ** 2).sum(axis=1))
+    return q.astype(np.int8), unit, (rest * 1.001 + 1e-6).astype(np.float32)
+
+
+def _sketched(classes: DataFrame, width: float, k: int, tables: int) -> DataFrame:
+    """Rows (key, cls, t, unit, rest, body) for every table."""
+
     def run(batches):
         for batch in batches:
-            column = batch.column("embedding").cast(pa.list_(pa.float64()))
-            sizes = column.value_lengths().to_numpy()
-            flat, at = column.flatten().to_numpy(), np.cumsum(sizes) - sizes
-            ids, weight, lab = (batch.column(c).to_numpy() for c in ("id", "weight", "lab"))
-            for dim in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == dim)
-                for some in np.array_split(rows, -(-len(rows) // 512)):
-                    v = flat[at[some][:, None] + np.arange(dim)]
-                    made = keys(v, lab[some], width, k, tables).reshape(-1)
-                    body = [v[i].tobytes() for i in range(len(some))]
-                    each = np.repeat(some, tables)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(made), pa.array(ids[each]), pa.array(weight[each]), pa.array(lab[each]), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), pa.array([b for b in body for _ in range(tables)], pa.binary())],
-                        ["key", "id", "weight", "lab", "t", "v"],
-                    )
-
-    rows = classes.select("id", "weight", F.xxhash64("label", F.size("embedding")).alias("lab"), "embedding")
-    return rows.mapInArrow(run, "key long, id long, weight long, lab long, t int, v binary")
+            cls, lab = (batch.column(c).to_numpy() for c in ("cls", "lab"))
+            for some, v in _by_length(batch):
+                made = keys(v, lab[some], width, k, tables).reshape(-1)
+                body, unit, rest = sketches(v)
+                each = np.repeat(np.arange(len(some)), tables)
+                t = np.tile(np.arange(tables, dtype=np.int16), len(some))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (made, cls[some][each], t, unit[each], rest[each])), _binary(body[each])], ["key", "cls", "t", "unit", "rest", "body"])
+
+    return classes.selectExpr("cls", _LAB, "embedding").mapInArrow(run, "key long, cls long, t short, unit float, rest float, body binary")
+
+
+def _promising(sketched: DataFrame, cosine: float) -> DataFrame:
+    """Rows (key, cls, t) of the vectors that may have a partner under a key; repeated where a key is split in blocks."""
+
+    def lacking(unit, rest, i, j):
+        """What the product of the sketches of rows i and j must reach at least."""
+        return (cosine - 1e-5 - rest[i] * (1 + rest[j]) - rest[j] * (1 + rest[i]) - rest[i] * rest[j]) / (unit[i] * unit[j])
+
+    def hopeful(table, begins):
+        units, rests, own, p, q = (table.column(c).to_numpy() for c in ("unit", "rest", "own", "p", "q"))
+        group_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        may = np.zeros(table.num_rows, bool)
+        for rows, body in _matrices(table.column("body"), "i1"):
+            v = body.astype(np.float32)  # whole numbers, so that products of up to 1,000 components are exact
+            unit, rest, group = units[rows].astype(np.float64), rests[rows].astype(np.float64), group_of[rows]
+            edge = np.flatnonzero(np.diff(group, prepend=-1))
+            size = np.diff(np.append(edge, len(group)))
+            end = np.repeat(edge + size, size)
+            at = np.flatnonzero(np.repeat((size <= SMALL) & (size > 1), size))
+            for s in range(1, SMALL):
+                at = at[at + s < end[at]]
+                if not len(at):
+                    break
+                for i in np.array_split(at, -(-len(at) // 8192)):
+                    i = i[np.einsum("ij,ij->i", v[i], v[i + s]) >= lacking(unit, rest, i, i + s)]
+                    may[rows[i]] = may[rows[i + s]] = True
+            for a, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                some = np.arange(a, a + n)
+                link = v[some] @ v[some].T >= lacking(unit, rest, some[:, None], some[None, :])
+                np.fill_diagonal(link, False)
+                head = int(begins[group[a]])
+                if p[head] != q[head]:
+                    link &= own[rows[some]][:, None] != own[rows[some]][None, :]
+                may[rows[some[link.any(axis=1)]]] = True
+        return may
+
+    def run(batches):
+        for table, begins in whole_groups(batches):
+            yield from table.select(["key", "cls", "t"]).filter(pa.array(hopeful(table, begins))).to_batches()
+
+    return grouped(sketched, "cls", BLOCK).select("key", "p", "q", "own", "cls", "t", "unit", "rest", "body").mapInArrow(run, "key long, cls long, t short")
+
+
+def _keyed(classes: DataFrame, promising: DataFrame) -> DataFrame:
+    """Rows (key, id, weight, lab, t, v): v holds the components as they are in the table."""
+    kind = "<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+    def run(batches):
+        for batch in batches:
+            for some, v in _by_length(batch):
+                part = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cls", "id", "weight", "lab")), _binary(v.astype(kind))], ["cls", "id", "weight", "lab", "v"])
+
+    wanted = promising.distinct()
+    fetched = classes.selectExpr("cls", "id", "weight", _LAB, "embedding").join(wanted.select("cls").distinct(), "cls", "left_semi")
+    packed = fetched.mapInArrow(run, "cls long, id long, weight long, lab long, v binary")
+    return packed.join(wanted, "cls").select("key", "id", "weight", "lab", "t", "v", F.lit(kind).alias("kind"))
 
 
 def _tree(link: np.ndarray) -> tuple[list[int], list[int]]:
@@ -133,17 +230,10 @@ def _compare(keyed: DataFrame, width: float, k: int, tables: int, cosine: float)
 
     def checked(table, begins):
         ids, weight, lab, t, own, p, q = (table.column(c).to_numpy() for c in ("id", "weight", "lab", "t", "own", "p", "q"))
-        bodies = table.column("v").combine_chunks()
-        if isinstance(bodies, pa.ChunkedArray):
-            bodies = bodies.chunk(0)
+        kind = table.column("kind")[0].as_py()
         size = np.diff(begins)
-        length = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1]
-        raw = np.frombuffer(bodies.buffers()[2], np.uint8)[length[0] : length[-1]]
-        for dim in np.unique(np.diff(length)).tolist():  # rows of a group that differ in length differ in lab
-            rows = np.flatnonzero(np.diff(length) == dim)
-            place = (length[rows] - length[0])[:, None] + np.arange(dim)
-            v = np.ascontiguousarray(raw[place]).view("<f8") if len(rows) < len(bodies) else raw.view("<f8").reshape(len(bodies), -1)
-            yield from compared(v, *(x[rows] for x in (ids, weight, lab, t, own)), np.repeat(np.arange(len(size)), size)[rows], (p, q, begins))
+        for rows, body in _matrices(table.column("v"), kind):  # rows of a group that differ in length differ in lab
+            yield from compared(body.astype(np.float64), *(x[rows] for x in (ids, weight, lab, t, own)), np.repeat(np.arange(len(size)), size)[rows], (p, q, begins))
 
     def compared(v, ids, weight, lab, t, own, group, where):
         p, q, begins = where
@@ -203,7 +293,7 @@ def _compare(keyed: DataFrame, width: float, k: int, tables: int, cosine: float)
         for table, begins in whole_groups(batches):
             yield from checked(table, begins)
 
-    dealt = grouped(keyed, "id", BLOCK).select("key", "p", "q", "own", "id", "weight", "lab", "t", "v")
+    dealt = grouped(keyed, "id", BLOCK).select("key", "p", "q", "own", "id", "weight", "lab", "t", "v", "kind")
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
@@ -213,13 +303,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     classes = cut(_classes(rows))
     n = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     width, k, tables = plan(max(n, 2), cosine, recall)
-    found = cut(_compare(_keyed(classes, width, k, tables), width, k, tables, cosine))
+    promising = cut(_promising(_sketched(classes, width, k, tables), cosine))
+    found = cut(_compare(cut(_keyed(classes, promising)), width, k, tables, cosine))
     more = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    told = classes.select("label", "embedding", "id", "weight").join(more, classes.id == more.a, "left").join(roots, classes.id == roots.node, "left")
-    told = cut(told.select("label", "embedding", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
+    told = classes.join(more, classes.id == more.a, "left").join(roots, classes.id == roots.node, "left")
+    told = cut(told.select("label", "embedding", "h", "g", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
+    # hashes stand for the vectors if no two vectors share them
+    same = classes.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    by, told = (["h", "g"], told.drop("label", "embedding")) if same else (["label", "embedding"], told.drop("h", "g"))
+    rows = rows.selectExpr("*", *_HASHES).select("vec_id", *by)
     keep = F.coalesce("component_id", "vec_id")
-    out = rows.join(told, ["label", "embedding"], "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), keep).alias("component_id"))
+    out = rows.join(told, by, "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), keep).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

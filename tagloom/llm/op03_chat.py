@@ -10,13 +10,15 @@ prefix sums over ranges of (conv_id, turn), whose totals are joined back, and a
 PART_TURNS turns. Texts are shuffled twice, the hashes of the search stand for them elsewhere.
 
 Only DataFrame functions are used. Defined cases: a turn logged several times (equal conv_id, turn, role and text) counts
-once; different turns with one number stand in the order of role and hash; null roles and texts are empty; null turns come
-first; rows with a null conv_id make up a conversation of their own, which is the least; an empty table gives no rows;
+once; different turns with one number stand in the order of role and text (only such texts are sorted, and they are ranked
+over ranges as well); null roles and texts are empty; null turns come first; rows with a null conv_id make up a conversation of their own, which is the least; an empty table gives no rows;
 other columns are ignored. The marks of the format are made harmless where they occur in roles or texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ PART_TURNS = 256
 #: The format: marks of public chat templates, and what stands for their first characters inside texts.
 OPEN, CLOSE, MARK, HARMLESS = "<|im_start|>", "<|im_end|>", "<|", "< |"
 _ID = ("conv_id", "turn", "role", "x", "y")
+_NUMBER = ("conv_id", "turn", "role")
 
 
 def _plain(column: str) -> Column:
@@ -54,11 +57,28 @@ def _joined(rows: DataFrame, *others: DataFrame) -> DataFrame:
     return rows
 
 
+def _same(left: str, right: str, columns: tuple[str, ...]) -> Column:
+    return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
+def _ranked(log: DataFrame) -> DataFrame:
+    """Distinct turns with rank: 0, but for turns that share number and role, which are ranked by text."""
+    turns = _turns(log)
+    distinct = cut(turns.select(*_ID).distinct())
+    shared = cut(distinct.groupBy(*_NUMBER).agg(F.count("*").alias("n")).where("n > 1").select(*_NUMBER))
+    if shared.isEmpty():
+        return distinct.withColumn("rank", F.lit(0).cast("long"))
+    tied = turns.alias("t").join(shared.alias("s"), _same("t", "s", _NUMBER), "left_semi").distinct()
+    ranks = tied.repartitionByRange(*_NUMBER, "text").sortWithinPartitions(*_NUMBER, "text").select(*_ID, (F.monotonically_increasing_id() + 1).alias("_rank"))
+    found = distinct.alias("d").join(cut(ranks).alias("r"), _same("d", "r", _ID), "left")
+    return found.select("d.*", F.coalesce("r._rank", F.lit(0).cast("long")).alias("rank"))
+
+
 def prefix_hashes(log: DataFrame) -> DataFrame:
     """Distinct turns (conv_id, turn, role, x, y) with place (from 1), n_turns, and the rolling hash (a, b)."""
-    turns = _turns(log).select(*_ID).distinct()
-    dealt = cut(turns.repartitionByRange(*_ID).withColumn("range", F.spark_partition_id()))
-    inside = W.partitionBy("range", "conv_id").orderBy("turn", "role", "x", "y")
+    turns = _ranked(log)
+    dealt = cut(turns.repartitionByRange(*_NUMBER, "rank", "x", "y").withColumn("range", F.spark_partition_id()))
+    inside = W.partitionBy("range", "conv_id").orderBy("turn", "role", "rank")
     placed = dealt.withColumn("place", F.row_number().over(inside).cast("long"))
     placed = _joined(placed, _before(dealt, F.count("*"), "n")).withColumn("place", F.col("place") + F.col("before_n")).drop("before_n")
     hashed = cut(placed.withColumns({"ha": F.xxhash64(F.lit(2), "place", "role", "x", "y"), "hb": F.xxhash64(F.lit(3), "place", "role", "x", "y")}))
@@ -92,8 +112,7 @@ def render(log: DataFrame) -> DataFrame:
     wanted = hashes.select(*_ID, "place", part.alias("_part"), F.col("conv_id").alias("_c"))
     wanted = wanted.join(parts.withColumnRenamed("conv_id", "_k"), F.col("_c").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("part"))).drop("_c", "_k", "_part")
     texts = _turns(log).groupBy(*_ID).agg(F.first("text").alias("text"))
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in _ID]
-    both = texts.alias("t").join(wanted.alias("w"), same[0] & same[1] & same[2] & same[3] & same[4]).select("w.conv_id", "n_turns", "part", "place", "w.role", "text")
+    both = texts.alias("t").join(wanted.alias("w"), _same("t", "w", _ID)).select("w.conv_id", "n_turns", "part", "place", "w.role", "text")
     piece = F.concat(F.lit(OPEN), _harmless("role"), F.lit("\n"), _harmless("text"), F.lit(CLOSE + "\n"))
     pieces = both.groupBy("conv_id", "n_turns", "part").agg(F.sort_array(F.collect_list(F.struct("place", piece.alias("piece")))).alias("pieces"))
     return pieces.select("conv_id", "n_turns", "part", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
@@ -106,10 +125,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 h AS (SELECT *, md5(string_agg(md5(role || chr(10) || text), '' ORDER BY place) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)) AS h FROM p),
-kept AS (SELECT min(conv_id) AS conv_id FROM h WHERE place = n_turns AND NOT EXISTS (SELECT 1 FROM h AS o WHERE o.place < o.n_turns AND o.h = h.h) GROUP BY h)
+kept AS (SELECT CASE WHEN count(*) = count(conv_id) THEN min(conv_id) END AS conv_id FROM h WHERE place = n_turns AND NOT EXISTS (SELECT 1 FROM h AS o WHERE o.place < o.n_turns AND o.h = h.h) GROUP BY h)
 SELECT conv_id, n_turns, CAST((place - 1) // {PART_TURNS} AS INT) AS part,
        string_agg('{OPEN}' || replace(role, '{MARK}', '{HARMLESS}') || chr(10) || replace(text, '{MARK}', '{HARMLESS}') || '{CLOSE}' || chr(10), '' ORDER BY place) AS text
-FROM h WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, n_turns, part
+FROM h WHERE EXISTS (SELECT 1 FROM kept WHERE kept.conv_id IS NOT DISTINCT FROM h.conv_id) GROUP BY conv_id, n_turns, part
 """

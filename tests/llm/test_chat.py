@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from tagloom.llm import op03_chat as C
@@ -81,3 +82,15 @@ def test_empty(spark):
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data here")
 def test_sql(spark):
     assert canonical(C.query(spark, SF).toPandas()) == sql_rows(SF, C.ORACLE_SQL)
+
+
+def test_sql_of_ties_and_nulls(spark, tmp_path):
+    texts = ["zeta", "alpha", "Beta", "", None, "É", "日本"]
+    rows = [(1, 0, "user", t) for t in texts] + [(2, 0, "user", t) for t in reversed(texts)] + [(2, 1, "user", "more")]
+    rows += [(3, i, None, t) for i, t in enumerate(texts)] + [(None, 0, "user", "of no one"), (None, None, "user", "first"), (4, None, None, None)]
+    rows += [(5, 0, "user", "of no one")] * 2 + [(6, None, "user", "first"), (6, 0, "user", "of no one")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    plain = lambda found: sorted((tuple(None if v is pd.NA else int(v) if isinstance(v, float) else v for v in r) for r in found[1]), key=repr)
+    assert plain(canonical(C.query(spark, str(tmp_path)).toPandas())) == plain(sql_rows(str(tmp_path), C.ORACLE_SQL))
+    check(spark, [(c, t, r, x) for c, t, r, x in rows])

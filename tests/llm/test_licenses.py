@@ -14,16 +14,32 @@ def shingles(text):
 
 
 def brute(text, templates):
-    """Licenses by the definition: containment in some window of the template's class."""
-    own, found = shingles(text), {}
-    for name, body in templates.items():
-        wanted = set(shingles(body))
-        c = len(wanted).bit_length() - 1
-        step, steps = L.grid(c)
-        for start in range(0, max(0, -(-len(own) // step) - steps) * step + 1, step):
-            share = len(wanted & set(own[start : start + step * steps])) / len(wanted)
-            if share >= 0.8 and share > found.get(name, 0):
-                found[name] = share
+    """Licenses by the definition: in windows of the template's class, joined where they overlap, read from the left."""
+    own, found = shingles(text), []
+    for name in sorted(templates):
+        wanted = set(shingles(templates[name]))
+        step, long = L.grid(len(wanted).bit_length() - 1)
+        inside, last = set(), 0
+        stretches = []
+        for start in range(0, max(0, -(-(len(own) - long) // step)) * step + 1, step):
+            if len(wanted & set(own[start : start + long])) >= 0.8 * len(wanted):
+                stretch = range(start, min(start + long, len(own)))
+                if stretches and start < last:
+                    stretches[-1] |= set(stretch)
+                else:
+                    stretches.append(set(stretch))
+                last = start + long
+        for inside in stretches:
+            runs = [[]]
+            for i in sorted(inside):
+                if own[i] in wanted:
+                    have = {own[j] for j in runs[-1]}
+                    if own[i] in have and len(have) >= 0.8 * len(wanted):
+                        runs.append([])
+                    runs[-1].append(i)
+            for run in runs:
+                if len({own[i] for i in run}) >= 0.8 * len(wanted):
+                    found.append((name, run[0], run[-1] + 5, len({own[i] for i in run}) / len(wanted)))
     return found
 
 
@@ -41,10 +57,15 @@ def test_against_brute_force(spark):
             words[at:at] = body
         rows.append((i, " ".join(words).upper() if i % 5 == 0 else " ".join(words)))
     rows.append((500, "x " * 100_000 + L.TEMPLATES["MIT/text"] + " y" * 100_000))
-    rows += [rows[-2]] * 2
+    rows.append((501, " ".join([L.TEMPLATES["ISC/text"]] * 3 + ["x"] * 90 + [L.TEMPLATES["MIT/line"]] * 4 + ["y"] * 30 + [L.TEMPLATES["MIT/line"]])))
+    rows += [rows[-3]] * 2
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, licenses string").repartition(3)
-    found = sorted(((r.doc_id, {x.license: x.containment for x in r.licenses}) for r in L.licenses(docs).collect()), key=repr)
-    assert found == sorted(((d, brute(t, L.TEMPLATES)) for d, t in rows), key=repr)
+    want = sorted(((d, brute(t, L.TEMPLATES)) for d, t in rows), key=repr)
+    assert [len([x for x in w if x[0] == n]) for d, w in want if d == 501 for n in ("ISC/text", "MIT/line")] == [3, 5]
+    for limit in (L.TEMPLATE_BYTES, 3000):  # in one part, and in several
+        assert (len(L.parts(L.TEMPLATES, limit)) > 1) == (limit == 3000)
+        found = sorted(((r.doc_id, [tuple(x) for x in r.licenses]) for r in L.licenses(docs, limit=limit).collect()), key=repr)
+        assert found == want
     assert L.licenses(docs.where("false")).count() == 0
 
 
@@ -60,7 +81,18 @@ def test_bands_find_all_that_windows_hold():
     assert L.Scanner(L.TEMPLATES).scan(pa.array(texts)) == L.Scanner(L.TEMPLATES, bands=False).scan(pa.array(texts))
 
 
-def test_spans_and_own_templates(spark):
+def test_a_large_store():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    store = {f"t{i:03d}": " ".join(f"v{rng.randrange(50_000)}" for _ in range(rng.randrange(6, 500))) for i in range(400)}
+    texts = [" ".join(["a"] * 30 + store[n].split() + ["b"] * 40 + store[m].split() * 2) for n, m in (rng.sample(sorted(store), 2) for _ in range(40))]
+    assert L.Scanner(store).scan(pa.array(texts)) == [brute(t, store) for t in texts]
+
+
+def test_spans_and_own_templates(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("under the mit license c")
+    assert L.read_templates(str(tmp_path)) == {"Own-1.0": "under the mit license c"}
     docs = spark.createDataFrame([(1, "a b Released under the MIT License. c")], "doc_id long, text string")
     assert [tuple(x) for x in L.licenses(docs).first().licenses] == [("MIT/line", 2, 7, 1.0)]
     assert [x.license for x in L.licenses(docs, {"own": "under the mit license c"}).first().licenses] == ["own"]

@@ -12,6 +12,8 @@ a value are removed wherever they stand in a document that holds the value. No v
 share of t's documents that have e near, c(e,t) / c(t), is taken as it is for pairs of SUPPORT documents or more; for rarer
 ones it is shrunk to what chance gives, (c(e,t) + p(e)) / (c(t) + 1) with p(e) = c(e) / N, so that one meeting counts for
 less in a small corpus, where most words are rare, than in a large one.
+All are events of a document: to hold e, to hold t, to hold t near e. With context=None "near" is "in the same document", and
+the measure is PMI as such; with a context it is at most that, as terms further away do not count for e.
 All counts are over all documents; pairs are formed only from the bounded surroundings of values, counted after a partial
 count on each task, and joined on keys that the join may split.
 
@@ -146,26 +148,29 @@ def _values(df: DataFrame) -> Column:
     return F.array_distinct(F.concat(*[named(k) for k in KINDS]))
 
 
-def _near(kind: str) -> Column:
-    """(value, words near it) for every valid match of a kind."""
+def _near(kind: str, context: int | None) -> Column:
+    """(value, words near it) for every valid match of a kind; without a context, all words of the text but for the matches."""
     m, p = F.col(f"{kind}_m"), F.col(f"{kind}_p")
 
     def words(side: Column) -> Column:
         return F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
 
     def whole_left(piece: Column) -> Column:  # the first word of a cut piece may be a part of one
-        return F.when(F.length(piece) > CONTEXT, F.regexp_replace(F.right(piece, F.lit(CONTEXT)), r"^\p{L}++", "")).otherwise(piece)
+        return F.when(F.length(piece) > context, F.regexp_replace(F.right(piece, F.lit(context)), r"^\p{L}++", "")).otherwise(piece)
 
     def whole_right(piece: Column) -> Column:
-        return F.when(F.length(piece) > CONTEXT, F.regexp_replace(F.left(piece, F.lit(CONTEXT)), r"(?<!\p{L})\p{L}++$", "")).otherwise(piece)
+        return F.when(F.length(piece) > context, F.regexp_replace(F.left(piece, F.lit(context)), r"(?<!\p{L})\p{L}++$", "")).otherwise(piece)
 
     sides = F.zip_with(_before(m, p), _after(m, p), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
     found = F.filter(F.zip_with(m, sides, lambda x, s: F.struct(x.alias("raw"), s.alias("s"))), lambda x: _valid(kind, x["raw"]))
+    if context is None:
+        everything = F.array_distinct(words(F.array_join(p, " ")))
+        return F.transform(found, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["raw"]).alias("value"), everything.alias("terms")))
     terms = lambda s: F.concat(words(whole_left(s["left"])), words(whole_right(s["right"])))
     return F.transform(found, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["raw"]).alias("value"), terms(x["s"]).alias("terms")))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
     """Rows (value, term): terms that disclose a value. found has a row for each document with values: values, near."""
     n = docs.count()
     c_e = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c_e"))
@@ -176,17 +181,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     every = c_et.join(c_e, "value").join(c_t, "term")
     ic = F.log(F.lit(float(n)) / F.col("c_e"))
     chance = F.col("c_e") / F.lit(float(n))
-    share = F.when(F.col("c_et") >= SUPPORT, F.col("c_et") / F.col("c_t")).otherwise((F.col("c_et") + chance) / (F.col("c_t") + 1))
+    share = F.when(F.col("c_et") >= support, F.col("c_et") / F.col("c_t")).otherwise((F.col("c_et") + chance) / (F.col("c_t") + 1))
     pmi = F.log(share / chance)
     return cut(every.where((F.col("c_e") < n) & (pmi >= DISCLOSURE * ic)).select("value", "term"))
 
 
-def _with_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_terms(docs: DataFrame, context: int | None, support: int) -> tuple[DataFrame, DataFrame]:
     """Documents with a row number and their matches; and rows (_row, terms): terms to remove from a document."""
     rows = cut(_base(docs.withColumn("_row", F.monotonically_increasing_id())))
-    near = F.concat(*[_near(k) for k in KINDS])
+    near = F.concat(*[_near(k, context) for k in KINDS])
     found = cut(rows.where(F.greatest(*[F.size(f"{k}_s") for k in KINDS]) > 0).select("_row", _values(rows).alias("values"), near.alias("near")))
-    bad = disclosing_terms(rows, found)
+    bad = disclosing_terms(rows, found, support)
     held = found.select("_row", F.explode("values").alias("value"))
     return rows, cut(held.join(bad, "value").groupBy("_row").agg(F.collect_set("term").alias("terms")))
 
@@ -197,9 +202,12 @@ def _with_term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return _spans(both, "term", lambda v: F.array_contains(F.col("terms"), F.lower(v)))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, email, ip, card, phone, term): arrays of (start, end, value), base spans and added terms."""
-    both = _with_term_spans(*_with_terms(docs.select("doc_id", "text")))
+def find(docs: DataFrame, context: int | None = CONTEXT, support: int = SUPPORT) -> DataFrame:
+    """Rows (doc_id, email, ip, card, phone, term): arrays of (start, end, value), base spans and added terms.
+
+    context=None takes all words of a document as near its values; support=1 takes the counts of every pair as they are.
+    """
+    both = _with_term_spans(*_with_terms(docs.select("doc_id", "text"), context, support))
     return both.select("doc_id", *[F.col(f"{k}_s").alias(k) for k in (*KINDS, "term")])
 
 
@@ -248,10 +256,10 @@ def _marked(text: Column, spans: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.get(spans, F.lit(0))["start"].cast("int")), F.array_join(blocks, ""))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, context: int | None = CONTEXT, support: int = SUPPORT) -> DataFrame:
     """The documents with the spans that :func:`find` reports replaced by marks, in one pass; all columns stay."""
     names = docs.columns
-    rows, terms = _with_terms(packed(docs))
+    rows, terms = _with_terms(packed(docs), context, support)
     out = _with_term_spans(rows, terms)
     out = out.withColumn("united", F.when(F.greatest(*[F.size(f"{k}_s") for k in (*KINDS, "term")]) > 0, _united(out, (*KINDS, "term"))))
     out = out.withColumn("text", F.when(F.col("united").isNotNull(), _let(F.col("united"), lambda u: _marked(F.col("text"), u))).otherwise(F.col("text")))

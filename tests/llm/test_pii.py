@@ -155,6 +155,15 @@ def test_terms_of_rare_values(spark):
     assert got[50] == "beta Quispe [EMAIL] gamma"
 
 
+def test_whole_documents_as_context(spark):
+    texts = ["alpha beta"] * 40 + ["Zelenka " + "beta " * 60 + "ze@mail.example.org"] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r.doc_id: [s.value for s in r.term] for r in I.find(docs).collect() if r.term}
+    far = {r.doc_id: [s.value for s in r.term] for r in I.find(docs, context=None, support=1).collect() if r.term}
+    assert near == {}
+    assert far == {i: ["Zelenka"] for i in range(40, 46)}
+
+
 def test_sanitise_cuts_the_spans_that_are_found(spark):
     texts = ["ring +33.1.42.68.53.00 now", "1.2.3.4@x.yz", "", None, "é +33.1.42.68.53.00, a@b.cd", *random_texts(6, 300), "a@b.cd 1.2.3.4 " * 1500]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)

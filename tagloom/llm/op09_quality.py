@@ -1,8 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics are counted from the bytes and words of the whole text; labels, lang, source and doc_id are no inputs. The
-trees are grown on the driver over binned statistics of a bounded sample of labelled rows (TRAIN_ROWS, chosen by the hash
-of doc_id, never rows held out), flattened into arrays and broadcast (some 100 kB), and walked by numpy for whole Arrow
+trees are grown on the driver over binned statistics of a bounded sample of labelled rows (TRAIN_ROWS at most, chosen by the
+hash of doc_id and, if an id has many rows, by that of the row, never rows held out), flattened into arrays and broadcast (some 100 kB), and walked by numpy for whole Arrow
 batches at once.
 
 Defined cases: null and empty texts have all-zero statistics and a score like any other; rows of labels with null
@@ -19,16 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import slices
-from .shared import documents, packed, table, unpacked, utf8
+from .shared import cut, documents, packed, table, unpacked, utf8
 
-#: Labelled rows that training uses at most, about; trees, depth, bins, learning rate; score from which a document is good.
+#: Labelled rows that training uses at most; trees, depth, bins, learning rate; score from which a document is good.
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, THRESHOLD = 20_000, 80, 4, 64, 0.15, 0.3
 FOLDS = 5
+#: Chosen labels (id and label, 12 bytes) that are broadcast; more of them, as when ids repeat, are joined otherwise.
+BROADCAST_ROWS = 200_000
 
 _KIND = np.zeros((256, 8), np.int64)  # letters lower, upper, digits, spaces, newlines, sentence marks, other ASCII, beyond ASCII
 for _b in range(256):
     _c = chr(_b)
     _KIND[_b, 7 if _b >= 128 else 0 if _c.islower() else 1 if _c.isupper() else 2 if _c.isdigit() else 4 if _c == "\n" else 3 if _c.isspace() else 5 if _c in ".,;:?'\"()-" else 6] = 1
+_SYMBOL = _KIND[:, 6].tolist()  # ASCII marks that end no sentence and open or close nothing
 FEATURES = 27
 
 
@@ -53,7 +56,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         same_next = sum(map(bytes.__eq__, words, words[1:]))
         lines = text.split(b"\n")
         filled = [x for x in lines if x.strip()]
-        tails = sum(w[-1] in b"%$&#*!" for w in words)
+        tails = sum(_SYMBOL[w[-1]] for w in words)
         repeated = sum(len(w) > 1 and w[-1] == w[-2] and not w[-1:].isalnum() for w in words)
         out[i] = [
             np.log1p(n), np.log1p(len(words)), *(kinds / n).tolist(),
@@ -150,16 +153,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Boosted
     if not n:
         return fit(np.zeros((0, FEATURES)), np.zeros(0))
     share = min(1.0, rows / n)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("quality", "text")
+    chosen = cut(usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))))
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    taught = taught.select("quality", F.xxhash64("doc_id", "quality", "text").alias("order"), "text")
 
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 x = statistics(some.column("text")).astype("<f8")
-                yield pa.RecordBatch.from_arrays([some.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "x"])
+                yield pa.RecordBatch.from_arrays([some.column("quality"), some.column("order"), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "order", "x"])
 
-    got = taught.mapInArrow(run, "quality int, x binary").collect()
+    made = taught.mapInArrow(run, "quality int, order long, x binary")
+    got = made.orderBy("order", "quality", "x").limit(rows).collect()  # bounded, however many rows an id has
     got = sorted((bytes(r.x), r.quality) for r in got)  # the same trees whatever the order of rows
     x = np.frombuffer(b"".join(a for a, _ in got), "<f8").reshape(-1, FEATURES)
     return fit(x, np.array([q for _, q in got], np.float64))

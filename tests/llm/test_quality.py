@@ -34,6 +34,59 @@ def test_trees_against_plain_walks():
     assert np.array_equal(model.score(x), again.score(x))
 
 
+def plain_fit(x, y):
+    """The same boosting, in loops over rows, statistics and cuts; gives the margin of every row."""
+    rows, rate = range(len(y)), (sum(y) + 0.5) / (len(y) + 1)
+    edges = [sorted(np.quantile(x[:, f], q) for q in np.linspace(0, 1, Q.BINS + 1)[1:-1]) for f in range(x.shape[1])]
+    binned = [[sum(e < v for e in edges[f]) for f, v in enumerate(row)] for row in x]
+    margin = [float(np.log(rate / (1 - rate)))] * len(y)
+    for _ in range(Q.TREES):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        grad, hess = [p[i] - y[i] for i in rows], [max(p[i] * (1 - p[i]), 1e-6) for i in rows]
+
+        def grow(some, depth):
+            g, h = sum(grad[i] for i in some), sum(hess[i] for i in some)
+            best = (1e-6, None, None)
+            for f in range(x.shape[1]) if depth < Q.DEPTH else ():
+                for c in range(Q.BINS - 1):
+                    left = [i for i in some if binned[i][f] <= c]
+                    gl, hl = sum(grad[i] for i in left), sum(hess[i] for i in left)
+                    gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                    if hl >= 1 and h - hl >= 1 and gain > best[0] + 1e-12:
+                        best = gain, f, c
+            if best[1] is None:
+                for i in some:
+                    margin[i] += -Q.RATE * g / (h + 1)
+                return
+            grow([i for i in some if binned[i][best[1]] <= best[2]], depth + 1)
+            grow([i for i in some if binned[i][best[1]] > best[2]], depth + 1)
+
+        grow(list(rows), 0)
+    return margin
+
+
+def test_fit_against_plain_loops(monkeypatch):
+    for name, value in (("TREES", 6), ("DEPTH", 2), ("BINS", 8), ("FEATURES", 3)):
+        monkeypatch.setattr(Q, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.2)).astype(float)
+    model = Q.fit(x, y)
+    assert np.allclose(model.margin(model.bins(x)), plain_fit(x, y))
+
+
+def test_training_is_bounded_for_repeated_ids(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "concat('word ', id) AS text").union(spark.range(50).selectExpr("id AS doc_id", "'some text' AS text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    fit, Q.fit = Q.fit, lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        Q.train(docs, labels, rows=100)
+    finally:
+        Q.fit = fit
+    assert seen == [100]
+
+
 def test_bins_of_tied_values():
     model = Q.fit(np.tile([[1.0]], (20, Q.FEATURES)), np.array([0.0, 1.0] * 10))
     assert np.allclose(model.score(np.ones((3, Q.FEATURES))), 0.5, atol=0.05)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import time
 
 from . import utf16
 
@@ -180,23 +181,34 @@ def decode_html(data: bytes, transport: str | None = None) -> tuple[str, str, st
     return decode(data, encoding), encoding, source
 
 
-def decode_chunks(chunks: list[bytes], transport: str | None = None, budgets=None) -> tuple[str, str, str, int, int]:
-    """(text, encoding, source, bytes, most bytes buffered) of a document that came in chunks.
-
-    The encoding is settled once PRESCAN_BYTES have come, or at the end; budgets are kept chunk by chunk, and nothing
-    behind a breach is looked at.
-    """
+def within_budgets(chunks: list[bytes], budgets=None, began: float | None = None) -> tuple[int, int]:
+    """(bytes, most bytes buffered) of chunks in order; budgets are kept chunk by chunk, and nothing behind a breach is looked
+    at. Bytes are held until the encoding is settled, once PRESCAN_BYTES have come; began is a time.monotonic()."""
     total = pending = buffered = 0
     settled = False
     for chunk in chunks:
         total += len(chunk)
-        if budgets is not None:
-            budgets.enforce("maxInputBytes", total)
         pending = len(chunk) if settled else pending + len(chunk)
         buffered = max(buffered, pending)
+        settled = settled or pending >= PRESCAN_BYTES
         if budgets is not None:
+            budgets.enforce("maxInputBytes", total)
             budgets.enforce("maxBufferedBytes", pending)
-        settled = settled or pending >= PRESCAN_BYTES
-    data = b"".join(chunks)
-    text, encoding, source = decode_html(data, transport)
+            _in_time(budgets, began)
+    return total, buffered
+
+
+def _in_time(budgets, began: float | None) -> None:
+    if budgets.maxTimeMs is not None and began is not None:
+        budgets.enforce("maxTimeMs", int((time.monotonic() - began) * 1000))
+
+
+def decode_chunks(chunks: list[bytes], transport: str | None = None, budgets=None) -> tuple[str, str, str, int, int]:
+    """(text, encoding, source, bytes, most bytes buffered) of a document that came in chunks; the time is looked at after
+    each chunk and once all is decoded."""
+    began = time.monotonic()
+    total, buffered = within_budgets(chunks, budgets, began)
+    text, encoding, source = decode_html(b"".join(chunks), transport)
+    if budgets is not None:
+        _in_time(budgets, began)
     return text, encoding, source, total, buffered

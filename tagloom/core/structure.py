@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from . import utf16
 from .document import Document
 from .serialize import serialize
-from .text import text_content
+from .text import hidden, text_content
 from .tree import COMMENT, DOCTYPE, ELEMENT, TEXT, Node
 
 _OUTLINED = re.compile(r"(?:h[1-6]|section|article)\Z")
@@ -24,6 +25,43 @@ def walk(top: list[Node]):
             stack += [(child, depth + 1) for child in reversed(node.children)]
 
 
+@dataclass(frozen=True)
+class Selector:
+    """Elements by name in any case (not_tags: by what they are not), by attribute, and by its value, both exact."""
+
+    tag: str | None = None
+    attribute: str | None = None
+    value: str | None = None
+    not_tags: tuple[str, ...] = ()
+
+    def matches(self, node: Node) -> bool:
+        if node.kind is not ELEMENT or (self.tag is not None and node.tag.lower() != self.tag.lower()) or node.tag in self.not_tags:
+            return False
+        return self.attribute is None or (self.attribute in node.attrs and self.value in (None, node.attrs[self.attribute]))
+
+
+def select(document: Document, where: Selector, fields: tuple[str, ...]) -> list[tuple]:
+    """The fields of each element that the selector finds, in document order: ord (from 1), node_id, depth, tag_name,
+    attributes (name, value, no span), subtree_nodes, text."""
+    made = {
+        "node_id": lambda n, d: n.id, "depth": lambda n, d: d, "tag_name": lambda n, d: n.tag, "subtree_nodes": lambda n, d: count_nodes(n),
+        "attributes": lambda n, d: [(k, v, None) for k, v in n.attrs.items()], "text": lambda n, d: text_content(n),
+    }
+    found = [x for x in walk(document.root.children) if where.matches(x[0])]
+    return [tuple(i if f == "ord" else made[f](node, depth) for f in fields) for i, (node, depth) in enumerate(found, 1)]
+
+
+def visible(top: list[Node]):
+    """(node, depth) in document order without the subtrees that attributes hide."""
+    stack = [(node, 0) for node in reversed(top)]
+    while stack:
+        node, depth = stack.pop()
+        if node.kind is ELEMENT and hidden(node):
+            continue
+        yield node, depth
+        stack += [(child, depth + 1) for child in reversed(node.children)]
+
+
 def count_nodes(node: Node) -> int:
     return sum(1 for _ in walk([node]))
 

@@ -63,18 +63,17 @@ def attribute(node: Node, name: str) -> str | None:
     return None
 
 
-def _hidden(node: Node) -> bool:
+#: Declarations that hide, in a style without white space, and values of aria-hidden that do.
+HIDING, ARIA_HIDDEN = "display:none|visibility:hidden", ("", "true", "1")
+
+
+def hidden(node: Node) -> bool:
+    """Whether an element's own attributes hide its subtree."""
     if not node.attrs:
         return False
-    if attribute(node, "hidden") is not None:
-        return True
-    style = attribute(node, "style")
-    if style:
-        style = _JS_SPACES.sub("", style.lower())
-        if "display:none" in style or "visibility:hidden" in style or "content-visibility:hidden" in style:
-            return True
-    aria = attribute(node, "aria-hidden")
-    return aria is not None and aria.strip(utf16.JS_SPACE).lower() in ("", "true", "1")
+    style, aria = attribute(node, "style"), attribute(node, "aria-hidden")
+    by_style = style is not None and re.search(HIDING, _JS_SPACES.sub("", style.lower()))
+    return attribute(node, "hidden") is not None or bool(by_style) or (aria is not None and aria.strip(utf16.JS_SPACE).lower() in ARIA_HIDDEN)
 
 
 def _segment(value: str, keep: bool) -> str:
@@ -102,7 +101,7 @@ def pieces(top: list[Node], options: TextOptions = DEFAULTS, parse_fragment=None
             continue
         if node.kind is not ELEMENT:
             continue
-        if node.attrs and options.skip_hidden_subtrees and _hidden(node):
+        if node.attrs and options.skip_hidden_subtrees and hidden(node):
             continue
         tag = node.tag.lower()
         if tag in SKIPPED:

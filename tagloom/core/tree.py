@@ -16,7 +16,7 @@ WS = "\t\n\f\r "
 
 
 class Node:
-    __slots__ = ("kind", "ns", "tag", "attrs", "spans", "children", "parent", "data", "public", "system", "start", "end", "end_tag", "id")
+    __slots__ = ("kind", "ns", "tag", "attrs", "spans", "children", "parent", "data", "public", "system", "start", "end", "tag_end", "end_tag", "id")
 
     def __init__(self, kind, tag="", ns=HTML, attrs=None, start=None, end=None, spans=None):
         self.kind, self.tag, self.ns = kind, tag, ns
@@ -26,7 +26,7 @@ class Node:
         self.parent: Node | None = None
         self.data: list[str] | str = ""
         self.public = self.system = None
-        self.start, self.end, self.end_tag = start, end, False
+        self.start, self.end, self.tag_end, self.end_tag = start, end, end, False
         self.id = 0
 
 

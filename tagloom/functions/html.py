@@ -122,6 +122,13 @@ def rebuild(html) -> Column:
 # --- patching ---------------------------------------------------------------------------------------------------------
 
 
+_PATCH = f"struct<steps:{schemas.STEPS},result:string,error:{schemas.PATCH_ERROR}>"
+
+
+def _patch_error(e: Exception) -> tuple:
+    return (e.payload["code"], e.payload["target"], e.payload["detail"]) if isinstance(e, patch.PatchPlanningError) else ("INVALID_PLAN", None, str(e))
+
+
 def compute_patch(html, edits, mode: str = "PERMISSIVE") -> Column:
     """struct<steps,result,error> of an array of edits (kind, target, name, value, html); see core.patch.plan."""
 
@@ -129,17 +136,28 @@ def compute_patch(html, edits, mode: str = "PERMISSIVE") -> Column:
         try:
             steps, result = patch.plan(original, [patch.Edit(**e) for e in wanted or []])
             return steps, result, None
-        except patch.PatchPlanningError as e:
+        except (patch.PatchPlanningError, ValueError) as e:
             if mode == "FAILFAST":
                 raise
-            return None, None, (e.payload["code"], e.payload["target"], e.payload["detail"])
-        except ValueError as e:
+            return None, None, _patch_error(e)
+
+    return scalar(_PATCH, run)[1](_column(html), _column(edits))
+
+
+def patch_where(html, rules: list[patch.Rule], mode: str = "PERMISSIVE") -> Column:
+    """The same for edits of the elements that selectors find: one parse finds the targets and plans the patch."""
+
+    def run(original):
+        try:
+            document = parse(original, spans=True)
+            steps, result = patch.plan(original, patch.edits_of(document, rules), document)
+            return steps, result, None
+        except (patch.PatchPlanningError, ValueError) as e:
             if mode == "FAILFAST":
                 raise
-            return None, None, ("INVALID_PLAN", None, str(e))
+            return None, None, _patch_error(e)
 
-    kind = f"struct<steps:{schemas.STEPS},result:string,error:{schemas.PATCH_ERROR}>"
-    return scalar(kind, run)[1](_column(html), _column(edits))
+    return _one(_PATCH, run, html)
 
 
 def apply_patch_plan(html, steps) -> Column:
@@ -199,8 +217,7 @@ def is_hidden(attributes) -> Column:
     """Whether an element's own attributes hide its subtree."""
     style = F.regexp_replace(F.lower(attribute_value(attributes, "style")), f"[{utf16.JS_SPACE}]+", "")
     aria = F.lower(F.trim(attribute_value(attributes, "aria-hidden"), F.lit(utf16.JS_SPACE)))
-    by_style = style.contains("display:none") | style.contains("visibility:hidden") | style.contains("content-visibility:hidden")
-    return attribute_value(attributes, "hidden").isNotNull() | F.coalesce(by_style, F.lit(False)) | F.coalesce(aria.isin("", "true", "1"), F.lit(False))
+    return attribute_value(attributes, "hidden").isNotNull() | F.coalesce(style.rlike(text.HIDING), F.lit(False)) | F.coalesce(aria.isin(*text.ARIA_HIDDEN), F.lit(False))
 
 
 def decode_references(value, in_attribute: bool = False) -> Column:

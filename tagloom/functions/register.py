@@ -1,4 +1,8 @@
-"""SQL surface: scalar functions, and table functions for LATERAL."""
+"""SQL surface: scalar functions, and table functions for LATERAL.
+
+Rows of table functions are pickled, since Spark 4.1 refuses Arrow table functions on the right of a lateral join; large
+jobs take operators.parse, which gives the same tables in Arrow batches.
+"""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ from .. import schemas
 from ..core import encoding
 from ..core.budgets import UNLIMITED, BudgetExceededError, Budgets
 from ..core.document import Document, parse, soft_tree_errors, tokenize
-from ..core.structure import rows
+from ..core.structure import Selector, rows, select, visible
 from .arrow import budget_error, generate, schema_of
 
 
@@ -74,6 +74,51 @@ def parse_nodes(df: DataFrame, keys: list[str], html="html", context=None, spans
     return generate(df, _input(html, context), keys, schemas.subset(schemas.NODES, wanted), nodes)
 
 
+SELECTED = {
+    "ord": "int", "node_id": "int", "depth": "int", "tag_name": "string", "attributes": "array<struct<name:string,value:string,span:struct<start:int,end:int>>>",
+    "subtree_nodes": "int", "text": "string",
+}
+
+
+def select_elements(df: DataFrame, keys: list[str], where: Selector, fields: list[str], html="html", context=None, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None) -> DataFrame:
+    """keys and fields (of SELECTED) of the elements that a selector finds, in document order.
+
+    A document is whole in its worker, so that places, attributes and texts need no shuffle, and only what was found
+    crosses to the JVM; operators.nodes does the same on node tables that are stored.
+    """
+    run = _parser(mode, budgets=budgets, transport=transport)
+
+    def found(value, name):
+        document, _ = run(value, name)
+        return select(document, where, tuple(fields)) if document else ()
+
+    return generate(df, _input(html, context), keys, ", ".join(f"`{f}` {SELECTED[f]}" for f in fields), found)
+
+
+def tag_counts(df: DataFrame, keys: list[str], html="html", context=None, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None) -> DataFrame:
+    """keys, tag_name, n: the elements of each document by name, counted in its worker."""
+    from collections import Counter
+
+    run = _parser(mode, budgets=budgets, transport=transport)
+
+    def counts(value, name):
+        document, _ = run(value, name)
+        return Counter(t for (t,) in select(document, Selector(), ("tag_name",))).items() if document else ()
+
+    return generate(df, _input(html, context), keys, "tag_name string, n bigint", counts)
+
+
+def visible_nodes(df: DataFrame, keys: list[str], html="html", context=None, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None) -> DataFrame:
+    """keys, node_id, depth, kind, tag_name, value (of texts) of the nodes outside subtrees that attributes hide."""
+    run = _parser(mode, budgets=budgets, transport=transport)
+
+    def nodes(value, name):
+        document, _ = run(value, name)
+        return [(n.id, d, n.kind, n.tag or None, "".join(n.data) if n.kind == "text" else None) for n, d in visible(document.root.children)] if document else ()
+
+    return generate(df, _input(html, context), keys, "node_id int, depth int, kind string, tag_name string, value string", nodes)
+
+
 def parse_errors(df: DataFrame, keys: list[str], html="html", context=None, budgets: Budgets = UNLIMITED, mode: str = "PERMISSIVE", transport: str | None = None) -> DataFrame:
     """keys and schemas.ERRORS: one row for each parse error."""
     run = _parser(mode, budgets=budgets, transport=transport)

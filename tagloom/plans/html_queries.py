@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.budgets import Budgets
+from ..core.patch import Rule
+from ..core.structure import Selector
 from ..functions import html as H
 from ..operators import nodes as N
 from ..operators import parse as P
-from ..operators import patch as X
 from ..operators import text as V
 from ..operators.arrow import spread
-from ..sources.files import split_bytes
+from ..sources.files import scratch_dir, split_bytes, write_html, write_json_report
 from ..streaming import chunks as C
 
 KEY = ["page_id"]
@@ -36,11 +37,6 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-#: Columns of node tables that tag counts and texts need.
-_TAGS = ["kind", "tag_name"]
-_TEXTS = ["pre", "pre_end", "kind", "tag_name", "value"]
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
@@ -80,6 +76,7 @@ for _pattern, _by in (("[ \\t\\f]+\\n", "chr(10)"), ("\\n[ \\t\\f]+", "chr(10)")
 _TRIMMED = f"trim({_VISIBLE}, ' ' || chr(10) || chr(9))"
 _H1 = _decoded(_cut("<h1>(.*?)</h1>"))
 _NAV = _cut("<nav>.*?</nav>", 0)
+_PLACED_LI = f"len(regexp_extract_all({_NAV}, '<li>'))"
 _AD = _cut('<div class="ad">(.*?)</div>')
 
 
@@ -93,8 +90,7 @@ def html_source(spark, sf_dir):
 
 @_query("sc2_parse_bytes_title", f"SELECT page_id, {_decoded(_cut('<title>(.*?)</title>'))} AS text FROM pages")
 def parse_bytes_title(spark, sf_dir):
-    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes", columns=_TEXTS)
-    return N.text_content_where(nodes, F.col("tag_name") == "title", KEY).select("page_id", "text")
+    return P.select_elements(page_bytes(spark, sf_dir), KEY, Selector("title"), ["text"], "bytes")
 
 
 @_query("sc3_stream_reassembly", "SELECT page_id, html AS text, strlen(html) AS bytes_read, 'utf-8' AS encoding, 'meta' AS source FROM pages")
@@ -132,6 +128,23 @@ def decode_bytes(spark, sf_dir):
     return page_bytes(spark, sf_dir).select("page_id", H.decode_html("bytes")["text"].alias("text"))
 
 
+@_query("sk1_write_html", "SELECT page_id, html AS part FROM (SELECT page_id, " + _NAV + " AS html FROM pages)")
+def write_serialized(spark, sf_dir):
+    """Serialized documents written as Parquet and read again."""
+    where = scratch_dir(spark)
+    write_html(pages(spark, sf_dir).select("page_id", H.serialize_html(_slice("<nav>.*?</nav>"), context="body").alias("part")), where, "part", KEY)
+    return spark.read.parquet(where)
+
+
+@_query("sk2_write_json_report", f"SELECT page_id, CAST({_PLACED_LI} AS BIGINT) AS n_li FROM pages")
+def write_report(spark, sf_dir):
+    """A report of counts written as JSON and read again."""
+    where = scratch_dir(spark)
+    counts = P.tag_counts(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body")
+    write_json_report(counts.where("tag_name = 'li'").select("page_id", F.col("n").alias("n_li")), where)
+    return spark.read.schema("page_id long, n_li long").json(where)
+
+
 # --- parsing ----------------------------------------------------------------------------------------------------------
 
 _TAG_ROWS = f"""
@@ -144,7 +157,7 @@ SELECT page_id, tag_name, count(*) AS n FROM (
 @_query("p1_parse_tag_counts", _TAG_ROWS)
 def parse_tag_counts(spark, sf_dir):
     """Elements of each page by name, but b."""
-    return N.tag_counts(P.parse_nodes(pages(spark, sf_dir), KEY, columns=_TAGS), KEY).where("tag_name <> 'b'")
+    return P.tag_counts(pages(spark, sf_dir), KEY).where("tag_name <> 'b'")
 
 
 @_query("p1_parse_nodes")
@@ -158,21 +171,20 @@ _FRAGMENT = f"SELECT page_id, len(regexp_extract_all({_NAV}, '<li>')) AS n_li, l
 
 @_query("p2_parse_fragment_nav", _FRAGMENT)
 def parse_fragment_nav(spark, sf_dir):
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body", columns=_TAGS)
-    count = lambda tag: F.count_if(F.col("tag_name") == tag)
-    return nodes.groupBy("page_id").agg(count("li").alias("n_li"), count("a").alias("n_a"))
+    counts = P.tag_counts(pages(spark, sf_dir), KEY, _slice("<nav>.*?</nav>"), context="body")
+    count = lambda tag: F.coalesce(F.sum(F.when(F.col("tag_name") == tag, F.col("n"))), F.lit(0))
+    return counts.groupBy("page_id").agg(count("li").alias("n_li"), count("a").alias("n_a"))
 
 
 @_query("p3_parse_bytes_h1", f"SELECT page_id, {_H1} AS text FROM pages")
 def parse_bytes_h1(spark, sf_dir):
-    nodes = P.parse_nodes(page_bytes(spark, sf_dir), KEY, "bytes", columns=_TEXTS)
-    return N.text_content_where(nodes, F.col("tag_name") == "h1", KEY).select("page_id", "text")
+    return P.select_elements(page_bytes(spark, sf_dir), KEY, Selector("h1"), ["text"], "bytes")
 
 
 @_query("p4_parse_stream_h1", f"SELECT page_id, {_H1} AS text FROM pages")
 def parse_stream_h1(spark, sf_dir):
-    nodes = C.parse_stream_nodes(split_bytes(page_bytes(spark, sf_dir), KEY, 777), KEY, columns=_TEXTS)
-    return N.text_content_where(nodes, F.col("tag_name") == "h1", KEY).select("page_id", "text")
+    whole = C.assemble(split_bytes(page_bytes(spark, sf_dir), KEY, 777), KEY)
+    return P.select_elements(whole, KEY, Selector("h1"), ["text"], "text")
 
 
 _NO_COMMENT = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
@@ -261,9 +273,14 @@ def rebuild_from_tokens(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", H.rebuild("html").alias("html"))
 
 
+@_query("p8_rebuild_nav", f"SELECT page_id, '<html><head></head><body>' || {_NAV} || '</body></html>' AS html FROM pages")
+def rebuild_nav(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.rebuild(_slice("<nav>.*?</nav>")).alias("html"))
+
+
 @_query("p10_attributes", "SELECT page_id, 'a' AS tag_name, ord, 'href' AS name, href AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) AS ord FROM pages)")
 def attributes(spark, sf_dir):
-    links = N.with_order(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "a"), KEY)
+    links = P.select_elements(pages(spark, sf_dir), KEY, Selector("a"), ["tag_name", "ord", "attributes"])
     return links.select("page_id", "tag_name", F.col("ord").cast("long").alias("ord"), F.explode("attributes").alias("x")).select("page_id", "tag_name", "ord", "x.name", "x.value")
 
 
@@ -272,6 +289,18 @@ def normalize_tree(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", H.normalize_tree("html").alias("dump"))
 
 
+_DUMP = f"""
+SELECT page_id, '| <nav>' || chr(10) || '|   <ul>' || string_agg(chr(10) || '|     <li>' || chr(10) || '|       <a>' || chr(10) || '|         href="' || {_decoded("regexp_extract(item, 'href=\"([^\"]*)\"', 1)")} || '"'
+  || CASE WHEN regexp_extract(item, '<a [^>]*>([^<]*)', 1) = '' THEN '' ELSE chr(10) || '|         "' || {_decoded("regexp_extract(item, '<a [^>]*>([^<]*)', 1)")} || '"' END, '' ORDER BY ord) AS dump
+FROM (SELECT page_id, unnest(t) AS item, generate_subscripts(t, 1) AS ord FROM (SELECT page_id, regexp_extract_all({_NAV}, '<li>.*?</li>', 0, 's') AS t FROM pages)) GROUP BY page_id
+"""
+
+
+@_query("p12_normalize_nav", _DUMP)
+def normalize_nav(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.normalize_tree(_slice("<nav>.*?</nav>"), context="body").alias("dump"))
+
+
 # --- projections ------------------------------------------------------------------------------------------------------
 
 
@@ -326,10 +355,19 @@ def inject_meta_charset(spark, sf_dir):
     return _serializer_tokens(part, KEY).select("page_id", H.serialize_tokens("tokens", inject_meta_charset=True, encoding="koi8-r").alias("html"))
 
 
+@_query("s3c_attribute_order", f"SELECT page_id, '<input -x=1 checked Class=' || {_LANG} || ' disabled readonly=no value=\"a ' || {_LANG} || '\">' AS html FROM pages")
+def attribute_order(spark, sf_dir):
+    """Attributes in a locale's order, those that are equal to their name without a value."""
+    null = F.lit(None).cast("string")
+    attribute = lambda n, v: F.struct(null.alias("namespace"), F.lit(n).alias("name"), v.alias("value"))
+    given = F.array(*[attribute(n, v) for n, v in (("value", F.concat(F.lit("a "), _lang())), ("disabled", F.lit("DISABLED")), ("Class", _lang()), ("-x", F.lit("1")), ("readonly", F.lit("no")), ("checked", F.lit("checked")))])
+    token = F.struct(F.lit("StartTag").alias("type"), null.alias("namespace"), F.lit("input").alias("name"), given.alias("attributes"), F.lit("").alias("data"), F.lit("").alias("public_id"), F.lit("").alias("system_id"))
+    return pages(spark, sf_dir).select("page_id", H.serialize_tokens(F.array(token)).alias("html"))
+
+
 @_query("s4_text_content_h1", f"SELECT page_id, {_H1} AS text FROM pages")
 def text_content_h1(spark, sf_dir):
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, columns=_TEXTS)
-    return N.text_content_where(nodes, F.col("tag_name") == "h1", KEY).select("page_id", "text")
+    return P.select_elements(pages(spark, sf_dir), KEY, Selector("h1"), ["text"])
 
 
 @_query("s5_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS as_text, replace(replace(html, '&', '&amp;'), chr(34), '&quot;') AS as_attribute FROM pages")
@@ -359,13 +397,25 @@ def metrics(spark, sf_dir):
 
 @_query("s8_subtree_nodes_nav", f"SELECT page_id, {_NAV_NODES} AS subtree_nodes FROM pages")
 def subtree_nodes_nav(spark, sf_dir):
-    nodes = N.subtree_size(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "nav"))
-    return nodes.select("page_id", F.col("subtree_nodes").cast("long").alias("subtree_nodes"))
+    found = P.select_elements(pages(spark, sf_dir), KEY, Selector("nav"), ["subtree_nodes"])
+    return found.select("page_id", F.col("subtree_nodes").cast("long").alias("subtree_nodes"))
 
 
 # --- lookups ----------------------------------------------------------------------------------------------------------
 
 
+_ORDER = f"""
+SELECT page_id, CAST(generate_subscripts(t, 1) AS INT) AS ord, unnest(t) AS tag_name
+FROM (SELECT page_id, [x FOR x IN regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)[ >]', 1) IF x <> 'b'] AS t FROM pages)
+"""
+
+
+@_query("f1_walk_elements_order", _ORDER)
+def walk_elements_order(spark, sf_dir):
+    """Elements of each page in document order, but b and script, which the SQL cannot place."""
+    return P.select_elements(pages(spark, sf_dir), KEY, Selector(not_tags=("b", "script")), ["ord", "tag_name"])
+
+
 @_query("f1_walk_order")
 def walk_order(spark, sf_dir):
     return N.walk(P.parse_nodes(pages(spark, sf_dir), KEY, columns=["pre", "depth", "kind", "tag_name"]), KEY)
@@ -373,13 +423,15 @@ def walk_order(spark, sf_dir):
 
 @_query("f2_walk_elements_tag_counts", _TAG_ROWS)
 def walk_elements(spark, sf_dir):
-    return N.elements(P.parse_nodes(pages(spark, sf_dir), KEY, columns=_TAGS)).where("tag_name <> 'b'").groupBy("page_id", "tag_name").agg(F.count("*").alias("n"))
+    """The same by walking each document's elements, which the worker leaves out by name."""
+    walked = P.select_elements(pages(spark, sf_dir), KEY, Selector(not_tags=("b",)), ["tag_name"])
+    return walked.groupBy("page_id", "tag_name").agg(F.count("*").alias("n"))
 
 
 @_query("f3_find_by_id", "SELECT page_id, 'doctype' AS kind, 'html' AS name FROM pages")
 def find_by_id(spark, sf_dir):
     """Ids begin behind the root's 1, so 2 is the first leaf: the doctype."""
-    return N.find_by_id(P.parse_nodes(pages(spark, sf_dir), KEY), 2).select("page_id", "kind", "name")
+    return N.find_by_id(P.parse_nodes(pages(spark, sf_dir), KEY, columns=["node_id", "kind", "name"]), 2).select("page_id", "kind", "name")
 
 
 _LINKS = """
@@ -390,30 +442,27 @@ SELECT page_id, ord, href FROM (SELECT page_id, unnest(regexp_extract_all(html,
 
 @_query("f4_find_all_by_tag_a", _LINKS)
 def find_all_by_tag_a(spark, sf_dir):
-    links = N.with_order(N.find_all_by_tag_name(P.parse_nodes(pages(spark, sf_dir), KEY), "A"), KEY)
+    links = P.select_elements(pages(spark, sf_dir), KEY, Selector("A"), ["ord", "attributes"])
     return links.select("page_id", F.col("ord").cast("long").alias("ord"), H.attribute_value("attributes", "href").alias("href"))
 
 
 @_query("f5_find_all_by_attr_class_ad", f"SELECT page_id, 'div' AS tag_name, {_decoded(_AD)} AS text FROM pages")
 def find_all_by_attr(spark, sf_dir):
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY)
-    return N.text_content_where(nodes, N.has_attr("class", "ad"), KEY, ("tag_name",)).select("page_id", "tag_name", "text")
+    return P.select_elements(pages(spark, sf_dir), KEY, Selector(attribute="class", value="ad"), ["tag_name", "text"])
 
 
 @_query("f6_attribute_value", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 def attribute_value(spark, sf_dir):
-    found = N.find_all_by_attr(P.parse_nodes(pages(spark, sf_dir), KEY), "lang")
+    found = P.select_elements(pages(spark, sf_dir), KEY, Selector(attribute="lang"), ["attributes"])
     return found.select("page_id", H.attribute_value("attributes", "LANG").alias("lang"))
 
 
-
 @_query("f7_visible_nodes", f"SELECT page_id, {_H1} AS text FROM pages")
 def visible_nodes(spark, sf_dir):
     """The heading and the advertisement, which is hidden first: only the heading's text is left."""
     part = F.concat(F.lit('<div style="DISPLAY : none"><i>'), _slice('<div class="ad">.*?</div>'), F.lit("</i></div>"), _slice("<h1>.*?</h1>"))
-    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, part, context="body")
-    texts = N.visible_nodes(nodes, KEY).where("kind = 'text'")
-    return texts.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), "").alias("text"))
+    nodes = P.visible_nodes(pages(spark, sf_dir), KEY, part, context="body")
+    return nodes.where("kind = 'text'").select("page_id", F.col("value").alias("text"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
@@ -470,6 +519,12 @@ def provenance_text(spark, sf_dir):
     return found.select("page_id", F.array_join(F.transform("t", lambda x: x["value"]), "").alias("text"))
 
 
+@_query("v3a_text_sources", f"SELECT page_id, unnest([0, 1, 2]) AS pos, unnest(['text', 'text', 'text']) AS kind, unnest(['a', {_LANG}, 'v']) AS value, CAST(unnest([3, 4, 5]) AS INT) AS source_node_id, unnest(['text', 'element', 'element']) AS source_node_kind, unnest(['text-node', 'img-alt', 'input-value']) AS source_role FROM pages")
+def text_sources(spark, sf_dir):
+    part = F.concat(F.lit('<body>a<img alt="'), _lang(), F.lit('"><input type=submit value=v>'))
+    return V.visible_text_sourced(pages(spark, sf_dir), KEY, part)
+
+
 _F1 = f"""
 WITH t AS (SELECT page_id, {_H1} AS a, {_decoded(_AD)} AS b FROM pages),
 w AS (SELECT page_id, 'a' AS side, unnest(string_split(regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) AS word FROM t
@@ -499,8 +554,9 @@ def outline_headings(spark, sf_dir):
 
 @_query("a1_outline_nodes", f"SELECT page_id, 3 AS depth, 'h1' AS tag_name, left({_H1}, 200) AS text FROM pages")
 def outline_nodes(spark, sf_dir):
-    """The same from the node table."""
-    return N.outline(P.parse_nodes(pages(spark, sf_dir), KEY, columns=[*_TEXTS, "node_id", "depth"]), KEY).where("tag_name = 'h1'").select("page_id", "depth", "tag_name", "text")
+    """The same by selecting the headings."""
+    found = P.select_elements(pages(spark, sf_dir), KEY, Selector("h1"), ["depth", "tag_name", "text"])
+    return found.select("page_id", "depth", "tag_name", F.substring("text", 1, 200).alias("text"))
 
 
 _CHUNKS = f"""
@@ -531,23 +587,24 @@ def counts(spark, sf_dir):
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-# --- patches ----------------------------------------------------------------------------------------------------------
+@_query("a3_counts_of_kinds", f"SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'doctype' AS kind, 1 AS n FROM pages UNION ALL SELECT 'comment', len(regexp_extract_all(html, '<!--')) FROM pages UNION ALL SELECT 'element', 1 + len([x FOR x IN regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)[ >]', 1) IF x <> 'b']) FROM pages) GROUP BY kind")
+def counts_of_kinds(spark, sf_dir):
+    """All but texts and b elements, whose number depends on error recovery."""
+    nodes = P.parse_nodes(pages(spark, sf_dir), KEY, columns=["kind", "tag_name"])
+    return nodes.where("kind <> 'text' AND NOT tag_name <=> 'b'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _patched(spark, sf_dir, edits_of) -> DataFrame:
-    docs = pages(spark, sf_dir)
-    edits = edits_of(P.parse_nodes(docs, KEY, columns=["node_id", "pre", "pre_end", "kind", "tag_name", "attributes"]))
-    return X.compute_patches(docs, edits, KEY)
+# --- patches ----------------------------------------------------------------------------------------------------------
 
 
-def _edit(targets: DataFrame, kind: str, **fields) -> DataFrame:
-    values = [F.lit(fields.get(n)).cast("string").alias(n) for n in ("name", "value", "html")]
-    return targets.select("page_id", F.lit(0).alias("source_index"), F.lit(kind).alias("kind"), F.col("node_id").alias("target"), *values)
+def _patched(spark, sf_dir, *rules: Rule) -> DataFrame:
+    """page_id, html, steps, result, error: targets are found and patches planned by one parse."""
+    docs = pages(spark, sf_dir)
+    return docs.select("*", H.patch_where("html", list(rules)).alias("_p")).select("page_id", "html", "_p.steps", "_p.result", "_p.error")
 
 
-def _h1_text(nodes: DataFrame) -> DataFrame:
-    """The text in each h1 that holds nothing else: ids are in post-order, so an only child comes just before its parent."""
-    return N.find_all_by_tag_name(nodes, "h1").where("pre_end = pre + 1").withColumn("node_id", F.col("node_id") - 1)
+_NAVS, _ADS = Selector("nav"), Selector(attribute="class", value="ad")
+_NEW_H1 = Rule(Selector("h1"), "replaceText", value="A <new> & short title", only_text=True)
 
 
 _REPLACED = "regexp_replace(html, '<h1>.*?</h1>', '<h1>A &lt;new&gt; &amp; short title</h1>', 's')"
@@ -555,55 +612,66 @@ _REPLACED = "regexp_replace(html, '<h1>.*?</h1>', '<h1>A &lt;new&gt; &amp; short
 
 @_query("x1b_patch_replace_h1", f"SELECT page_id, {_REPLACED} AS result FROM pages")
 def patch_replace_h1(spark, sf_dir):
-    return _patched(spark, sf_dir, lambda n: _edit(_h1_text(n), "replaceText", value="A <new> & short title")).select("page_id", "result")
-
-
-def _ads(nodes):
-    return N.find_all_by_attr(nodes, "class", "ad")
+    return _patched(spark, sf_dir, _NEW_H1).select("page_id", "result")
 
 
 @_query("x1c_patch_set_attr_ad", "SELECT page_id, replace(replace(html, '<div class=\"ad\">', '<div class=\"x\">'), '<nav>', '<nav data-k=\"a&amp;b\">') AS result FROM pages")
 def patch_set_attr_ad(spark, sf_dir):
     """One attribute is replaced, and one added elsewhere."""
-    replaced = lambda n: _edit(_ads(n), "setAttr", name="class", value="x")
-    added = lambda n: _edit(N.find_all_by_tag_name(n, "nav"), "setAttr", name="data-k", value="a&b").withColumn("source_index", F.lit(1))
-    return _patched(spark, sf_dir, lambda n: replaced(n).unionByName(added(n))).select("page_id", "result")
+    return _patched(spark, sf_dir, Rule(_ADS, "setAttr", name="class", value="x"), Rule(_NAVS, "setAttr", name="data-k", value="a&b")).select("page_id", "result")
 
 
 @_query("x1d_patch_remove_attr_ad", "SELECT page_id, replace(html, '<div class=\"ad\">', '<div>') AS result FROM pages")
 def patch_remove_attr_ad(spark, sf_dir):
-    return _patched(spark, sf_dir, lambda n: _edit(_ads(n), "removeAttr", name="class")).select("page_id", "result")
+    return _patched(spark, sf_dir, Rule(_ADS, "removeAttr", name="class")).select("page_id", "result")
 
 
 @_query("x1a_patch_remove_node_nav", "SELECT page_id, regexp_replace(html, '<nav>.*?</nav>', '', 's') AS result FROM pages")
 def patch_remove_node_nav(spark, sf_dir):
-    return _patched(spark, sf_dir, lambda n: _edit(N.find_all_by_tag_name(n, "nav"), "removeNode")).select("page_id", "result")
+    return _patched(spark, sf_dir, Rule(_NAVS, "removeNode")).select("page_id", "result")
 
 
 @_query("x1e_patch_insert_before_after", "SELECT page_id, replace(replace(html, '<nav>', '<hr><nav>'), '</nav>', '</nav><p>after</p>') AS result FROM pages")
 def patch_insert(spark, sf_dir):
-    nav = lambda n: N.find_all_by_tag_name(n, "nav")
-    both = lambda n: _edit(nav(n), "insertHtmlBefore", html="<hr>").unionByName(_edit(nav(n), "insertHtmlAfter", html="<p>after</p>").withColumn("source_index", F.lit(1)))
-    return _patched(spark, sf_dir, both).select("page_id", "result")
+    return _patched(spark, sf_dir, Rule(_NAVS, "insertHtmlBefore", html="<hr>"), Rule(_NAVS, "insertHtmlAfter", html="<p>after</p>")).select("page_id", "result")
 
 
 @_query("x2_apply_patch_plan", f"SELECT page_id, {_REPLACED} AS result FROM pages")
 def apply_patch_plan(spark, sf_dir):
     """A plan is applied by Catalyst's own functions."""
-    planned = _patched(spark, sf_dir, lambda n: _edit(_h1_text(n), "replaceText", value="A <new> & short title"))
-    return planned.select("page_id", H.apply_patch_plan("html", "steps").alias("result"))
+    return _patched(spark, sf_dir, _NEW_H1).select("page_id", H.apply_patch_plan("html", "steps").alias("result"))
 
 
 @_query("x3_patch_errors", "SELECT page_id, 'ATTRIBUTE_NOT_FOUND' AS code, 'id' AS detail FROM pages")
 def patch_errors(spark, sf_dir):
-    return _patched(spark, sf_dir, lambda n: _edit(_ads(n), "removeAttr", name="id")).select("page_id", "error.code", "error.detail")
+    return _patched(spark, sf_dir, Rule(_ADS, "removeAttr", name="id")).select("page_id", "error.code", "error.detail")
 
 
 @_query("x3_patch_touching_edits", "SELECT page_id, 'INVALID_PLAN' AS code, 'invalid patch insertion offset' AS detail FROM pages")
 def patch_touching_edits(spark, sf_dir):
     """An insertion right behind a replacement has no slice to stand after."""
-    both = lambda n: _edit(_ads(n), "setAttr", name="class", value="x").unionByName(_edit(_ads(n), "setAttr", name="k", value="v").withColumn("source_index", F.lit(1)))
-    return _patched(spark, sf_dir, both).select("page_id", "error.code", "error.detail")
+    both = Rule(_ADS, "setAttr", name="class", value="x"), Rule(_ADS, "setAttr", name="k", value="v")
+    return _patched(spark, sf_dir, *both).select("page_id", "error.code", "error.detail")
+
+
+_ERRORS = """
+SELECT page_id, unnest(['NODE_NOT_FOUND', 'MISSING_NODE_SPAN', 'INVALID_EDIT_TARGET', 'INVALID_EDIT_TARGET', 'NON_INPUT_SPAN_PROVENANCE', 'OVERLAPPING_EDITS']) AS code,
+  CAST(unnest([999, 999, 5, 4, 6, 4]) AS INT) AS target,
+  unnest([NULL, NULL, 'expected text node target', 'expected element node target', 'inferred', NULL]) AS detail FROM pages
+"""
+
+
+@_query("x3_patch_error_codes", _ERRORS)
+def patch_error_codes(spark, sf_dir):
+    """Tables of edits that cannot be planned, with targets by id: 6 is the body, which has no tag of its own, 5 the paragraph
+    and 4 its text."""
+    part = F.concat(F.lit("<!doctype html><p>"), F.coalesce(F.nullif(_lang(), F.lit("")), F.lit("x")), F.lit("</p>"))
+    docs = pages(spark, sf_dir).select("page_id", part.alias("html"))
+    kinds = [("replaceText", 999), ("removeNode", 999), ("replaceText", 5), ("setAttr", 4), ("removeNode", 6)]
+    edit = lambda kind, target: F.struct(F.lit(kind).alias("kind"), F.lit(target).alias("target"), F.lit("k").alias("name"), F.lit("v").alias("value"), F.lit("").alias("html"))
+    sets = F.array(*[F.array(edit(k, t)) for k, t in kinds], F.array(edit("removeNode", 5), edit("replaceText", 4)))
+    each = docs.select("page_id", "html", F.explode(sets).alias("edits"))
+    return each.select("page_id", H.compute_patch("html", "edits")["error"].alias("e")).select("page_id", "e.code", "e.target", "e.detail")
 
 
 # --- budgets and traces -----------------------------------------------------------------------------------------------
@@ -655,5 +723,54 @@ def trace_bounded(spark, sf_dir):
     return generate(pages(spark, sf_dir), [F.col("html")], KEY, "budget string, `limit` bigint, actual bigint", over)
 
 
+# --- whole pages, beyond SQL --------------------------------------------------------------------------------------------
+
+
+@_query("p5_tokenize_stream_pages")
+def tokenize_stream_pages(spark, sf_dir):
+    return C.tokenize_stream(split_bytes(page_bytes(spark, sf_dir), KEY, 4096), KEY)
+
+
+@_query("p5c_xml_violations_pages")
+def xml_violations_pages(spark, sf_dir):
+    return P.tokenize_html(pages(spark, sf_dir), KEY, xml_violations=True)
+
+
+@_query("p5d_tokenizer_limits_pages")
+def tokenizer_limits_pages(spark, sf_dir):
+    return P.tokenizer_errors(pages(spark, sf_dir), KEY, max_text=400, max_token=64, max_errors=20)
+
+
+@_query("p7_character_references_pages")
+def character_references_pages(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.decode_references("html").alias("text"), H.decode_references("html", in_attribute=True).alias("as_attribute"))
+
+
+@_query("p11_soft_tree_limits_pages")
+def soft_tree_limits_pages(spark, sf_dir):
+    return P.soft_limit_errors(pages(spark, sf_dir), KEY, max_nodes=40, max_depth=5, max_attributes=1)
+
+
+@_query("s3_serialize_tokens_pages")
+def serialize_tokens_pages(spark, sf_dir):
+    part = pages(spark, sf_dir).withColumnRenamed("html", "part")
+    return _serializer_tokens(part, KEY).select("page_id", H.serialize_tokens("tokens", strip_whitespace=True, inject_meta_charset=True, encoding="utf-8").alias("html"))
+
+
+@_query("a1_outline")
+def outline(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.explode(H.outline("html")).alias("o")).select("page_id", "o.*")
+
+
+@_query("f7_visible_nodes_pages")
+def visible_nodes_pages(spark, sf_dir):
+    return P.visible_nodes(pages(spark, sf_dir), KEY)
+
+
+@_query("b4_stream_trace_pages")
+def stream_trace_pages(spark, sf_dir):
+    return C.parse_stream_trace(split_bytes(page_bytes(spark, sf_dir), KEY, 1500), KEY)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible_text(spark, sf_dir)

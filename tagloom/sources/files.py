@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,20 @@ def split_bytes(df: DataFrame, keys: list[str], size: int, data="bytes") -> Data
     return parts.select(*keys, "seq", F.substring("_data", F.col("seq") * size + 1, F.lit(size)).alias("bytes"), (F.col("seq") == F.col("_last")).alias("is_last"))
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, gone with the session; where that is unset, on this machine, which only a
+    driver that is its own executor may use."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tagloom-")
+    where = f"{base.rstrip('/')}/tagloom-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def write_html(df: DataFrame, path: str, column: str = "html", keys: list[str] | None = None) -> None:
     """Serialized documents with their keys as Parquet: one file a document would not survive large corpora."""
     df.select(*(keys or []), column).write.mode("overwrite").parquet(path)

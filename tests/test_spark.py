@@ -196,4 +196,38 @@ def test_structured_streaming(spark, tmp_path):
     query = over.writeStream.format("memory").queryName("over").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).start()
     query.processAllAvailable()
     query.stop()
-    assert {r.doc: r.budget_error for r in spark.table("over").collect()} == {1: "maxInputBytes", 2: None, 3: "maxInputBytes"}
+    assert {r.doc: r.budget_error and r.budget_error.budget for r in spark.table("over").collect()} == {1: "maxInputBytes", 2: None, 3: "maxInputBytes"}
+
+
+def test_chunks_repeated_and_missing(spark):
+    rows = [(1, 0, b"<p>a", False), (1, 1, b"bc", True), (1, 0, b"<p>a", False), (2, 0, b"x", False), (2, 2, b"z", True), (3, 0, b"y", False), (4, 0, b"", True)]
+    chunks = spark.createDataFrame(rows, "doc long, seq int, bytes binary, is_last boolean").repartition(3)
+    assert {r.doc: (r.text, r.bytes_read) for r in C.assemble(chunks, ["doc"]).collect()} == {1: ("<p>abc", 6), 4: ("", 0)}
+    assert {r.doc: r.text for r in C.assemble(chunks, ["doc"], incomplete=True).collect()} == {1: "<p>abc", 2: "xz", 3: "y", 4: ""}
+
+
+def test_time_budget_of_chunks(monkeypatch):
+    from tagloom.core import encoding
+    from tagloom.core.budgets import BudgetExceededError
+
+    clock = iter(range(100))
+    monkeypatch.setattr(encoding.time, "monotonic", lambda: next(clock))
+    with pytest.raises(BudgetExceededError) as caught:
+        encoding.decode_chunks([b"a"] * 9, None, Budgets(maxTimeMs=2500))
+    assert caught.value.payload == {"code": "BUDGET_EXCEEDED", "budget": "maxTimeMs", "limit": 2500, "actual": 3000}
+
+
+def test_selected_elements_and_patches(spark):
+    from tagloom.core.patch import Rule
+    from tagloom.core.structure import Selector
+    from tagloom.functions import html as H
+
+    docs = spark.createDataFrame([(1, "<ul><li class=a>x<b>y</b><li>z</ul>"), (2, None), (3, "<p hidden>h<p>v")], "doc long, html string").repartition(2)
+    found = P.select_elements(docs, ["doc"], Selector("li"), ["ord", "depth", "tag_name", "subtree_nodes", "text", "attributes"]).orderBy("ord").collect()
+    assert [(r.doc, r.ord, r.depth, r.tag_name, r.subtree_nodes, r.text, [(a.name, a.value) for a in r.attributes]) for r in found] == [(1, 1, 3, "li", 4, "xy", [("class", "a")]), (1, 2, 3, "li", 2, "z", [])]
+    assert {(r.doc, r.tag_name): r.n for r in P.tag_counts(docs, ["doc"]).collect()}[1, "li"] == 2
+    assert [r.value for r in P.visible_nodes(docs, ["doc"]).where("doc = 3 AND kind = 'text'").collect()] == ["v"]
+    made = {r.doc: r.p for r in docs.select("doc", H.patch_where("html", [Rule(Selector("li"), "setAttr", name="k", value="v")]).alias("p")).collect()}
+    assert made[1].result == '<ul><li class=a k="v">x<b>y</b><li k="v">z</ul>'
+    assert made[2] is None
+    assert made[3].result == "<p hidden>h<p>v"

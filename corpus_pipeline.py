@@ -55,13 +55,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents; what each wrote stays until the session ends."""
+    """The stages in turn over documents; what a stage wrote goes once the next has written, the last one's with the session."""
     where = f"{shared_dir(spark).rstrip('/')}/tagloom-pipeline-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    docs = table(spark, sf_dir, "documents")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(where).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(where))
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         out = f"{where}/{number}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            files.delete(path(before), True)
+        before = out
     return docs

@@ -96,14 +96,19 @@ def text_content_where(nodes: DataFrame, wanted: Column, keys: list[str], fields
     wanted elements of a document meet in one row, which is never larger than the document.
     """
     is_text, is_wanted = F.col("kind") == "text", (F.col("kind") == "element") & F.coalesce(wanted, F.lit(False))
-    target = F.struct("pre", "pre_end", *fields)
-    one = nodes.where(is_text | is_wanted).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(is_text, F.struct("pre", "value")))).alias("_texts"), F.collect_list(F.when(is_wanted, target)).alias("_targets")
-    )
-    inside = lambda t: F.filter("_texts", lambda x: (x["pre"] > t["pre"]) & (x["pre"] <= t["pre_end"]))
-    text = lambda t: F.array_join(F.transform(inside(t), lambda x: x["value"]), "")
-    found = one.select(*keys, F.explode(F.transform("_targets", lambda t: F.struct(t.alias("t"), text(t).alias("text")))).alias("_found"))
-    return found.select(*keys, "_found.t.pre", *[F.col(f"_found.t.{c}").alias(c) for c in fields], "_found.text")
+    row = F.struct("pre", F.when(is_text, F.col("value")).alias("value"), F.when(is_wanted, F.struct("pre_end", *fields)).alias("target"))
+    by_pre = lambda a, b: F.when(a["pre"] < b["pre"], -1).otherwise((a["pre"] > b["pre"]).cast("int"))
+    one = nodes.where(is_text | is_wanted).groupBy(*keys).agg(F.collect_list(row).alias("_rows")).withColumn("_rows", F.array_sort("_rows", by_pre))
+
+    def target(x: Column, i: Column) -> Column:
+        """The element and its text: a subtree's rows follow it and are no more than its nodes, so no target looks at all texts."""
+        end = x["target"]["pre_end"]
+        under = F.filter(F.slice("_rows", i + 2, (end - x["pre"]).cast("int")), lambda y: y["pre"] <= end)
+        text = F.array_join(F.transform(under, lambda y: y["value"]), "")
+        return F.when(x["target"].isNotNull(), F.struct(x["pre"].alias("pre"), x["target"].alias("target"), text.alias("text")))
+
+    found = one.select(*keys, F.explode(F.filter(F.transform("_rows", target), lambda x: x.isNotNull())).alias("_found"))
+    return found.select(*keys, "_found.pre", *[F.col(f"_found.target.{c}").alias(c) for c in fields], "_found.text")
 
 
 def outline(nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -85,6 +85,17 @@ def test_text_and_outline_by_joins(docs):
     assert [(r.node_id, r.depth, r.tag_name, r.text) for r in outlined] == structure.outline(parse(DOCS[5][1]).root.children)
 
 
+def test_texts_of_nested_elements(spark):
+    rows = [(1, "<p>a<b>x</b>c<p>d"), (2, ""), (3, "<div>" * 100 + "t" + "</div>u" * 100), (None, "<div class=x>a<div>b</div>c</div>d")]
+    nodes = P.parse_nodes(spark.createDataFrame(rows, "doc long, html string"), ["doc"])
+    wanted = F.col("tag_name").isin("div", "p", "b", "body")
+    found = N.text_content_where(nodes, wanted, ["doc"], ("node_id", "attributes")).collect()
+    joined = N.text_content(nodes.where((F.col("kind") == "element") & wanted), nodes, ["doc"]).collect()
+    assert len(found) == 4 + 1 + 101 + 3
+    assert sorted(((r.doc or 0, r.pre, r.node_id, r.text) for r in found)) == sorted(((r.doc or 0, r.pre, r.node_id, r.text) for r in joined))
+    assert N.text_content_where(nodes.where("false"), wanted, ["doc"]).count() == 0
+
+
 def test_functions(spark, docs):
     one = docs.where("doc = 1")
     row = one.select(

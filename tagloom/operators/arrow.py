@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..core.budgets import BudgetExceededError
 
 #: Rows of output that one Arrow batch holds, about; so that long documents do not pile up in a worker.
-OUT_ROWS = 50_000
+OUT_ROWS = 10_000
 
 
 def schema_of(ddl: str) -> T.StructType:

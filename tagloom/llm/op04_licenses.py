@@ -6,6 +6,9 @@ so that every stretch of twice a template's shingles lies in some window. A temp
 or more of its shingles. Such a window has a Jaccard similarity J of at least CONTAINMENT n / (window + (1 - CONTAINMENT) n)
 with the template, and BANDS bands of one row retrieve it with probability 1 - (1 - J)^BANDS: MISSED at most stays unseen,
 which is checked for every class. Only bands retrieve; the (template, window) pairs they give are verified on the words.
+A band orders shingles by a bijection of their hashes, so it can agree only on a window that holds the very shingle that is
+the template's least. One lookup of every shingle finds these, and bands are computed for the windows around them: the
+pairs are those of all windows, while texts without any such shingle cost one lookup a word.
 
 Every occurrence is reported: where windows that contain a template overlap, its shingles are read in order, and a new
 occurrence begins at a shingle that the current one has already, once that one holds CONTAINMENT of the template. Copies
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .op07_decontaminate import Words
 from .segments import slices
-from .shared import cut, documents, mix
+from .shared import HashIndex, cut, documents, mix
 
 SHINGLE, CONTAINMENT, BANDS, MISSED = 5, 0.8, 40, 1e-5
 TEMPLATE_BYTES = 4 << 20
@@ -143,7 +146,12 @@ class Templates:
         self.seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B9))
         self.hashes = members
         self.classes = {c: np.array(ts) for c, ts in sorted(classes.items())}
-        self.signatures = {c: np.array([[self.permuted(members[t], k).min() for t in ts] for k in range(BANDS)]) for c, ts in self.classes.items()}
+        least = {c: np.array([[members[t][self.permuted(members[t], k).argmin()] for t in ts] for k in range(BANDS)]) for c, ts in self.classes.items()}
+        self.signatures = {c: np.array([self.permuted(some[k], k) for k in range(BANDS)]) for c, some in least.items()}
+        self.least = HashIndex()  # the shingles on which bands may agree, and which of them are of a class
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(some.ravel() for some in least.values())]))
+        self.least.add(distinct)
+        self.least_of = {c: np.isin(distinct, some) for c, some in least.items()}
         for c in self.classes:
             need = -(-CONTAINMENT * (1 << c) // 1)
             j = need / (grid(c)[1] + (1 << c) - need)
@@ -151,12 +159,20 @@ class Templates:
                 raise ValueError("too few bands")
 
     def permuted(self, h: np.ndarray, k: int) -> np.ndarray:
+        """A bijection of the hashes, another one for every band."""
         with np.errstate(over="ignore"):
             v = (h ^ self.seeds[k]) * np.uint64(0xD6E8FEB86659FD93)
             v ^= v >> np.uint64(32)
             return v * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _united(lo: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """The numbers in any of the ranges, ascending, each once; both ends ascend."""
+    begin = np.maximum(lo, np.concatenate([lo[:1], past[:-1]]))
+    count = past - begin
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
 class Scanner:
     def __init__(self, texts: dict[str, str], bands: bool = True):
         """bands=False takes every window of every template, which tests compare with."""
@@ -169,10 +185,12 @@ class Scanner:
         hashes = words.window_hashes(SHINGLE)
         first = words.first[:-1]
         size = np.maximum(np.diff(words.first) - SHINGLE + 1, 0)  # shingles of each document
-        windows = {c: self._windows(first, size, c) for c in self.own.classes}
+        places = self.own.least.find(hashes)
+        at = np.flatnonzero(places >= 0)
+        places = places[at]
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for c, ts in self.own.classes.items():
-            doc, start, end = windows[c]
+            doc, start, end = self._near(first, size, c, at[self.own.least_of[c][places]]) if self.bands else self._windows(first, size, c)
             for w, t in self._retrieved(c, hashes, start, end) if self.bands else ((w, t) for w in range(len(doc)) for t in ts.tolist()):
                 found.setdefault((int(doc[w]), t), []).append((int(start[w]), int(end[w])))
         out: list[list[tuple]] = [[] for _ in range(len(column))]
@@ -189,12 +207,33 @@ class Scanner:
         start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
         return doc, first[doc] + start, first[doc] + np.minimum(start + long, size[doc])
 
+    @staticmethod
+    def _near(first: np.ndarray, size: np.ndarray, c: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those windows of a class that hold one of the shingles ``at`` (ascending), in the same order."""
+        step, long = grid(c)
+        doc = np.searchsorted(first, at, side="right") - 1
+        inside = at - first[doc] < size[doc]  # others reach into the next document
+        at, doc = at[inside], doc[inside]
+        place = at - first[doc]
+        count = np.where(size > 0, np.maximum(-(-(size - long) // step), 0) + 1, 0)
+        base = (np.cumsum(count) - count)[doc]
+        lo = base + np.maximum((place - long) // step + 1, 0)
+        past = base + np.minimum(place // step, count[doc] - 1) + 1
+        own = _united(lo, past)
+        doc = np.repeat(doc, np.diff(np.searchsorted(own, past), prepend=0))
+        start = (own - (np.cumsum(count) - count)[doc]) * step
+        return doc, first[doc] + start, first[doc] + np.minimum(start + long, size[doc])
+
     def _retrieved(self, c: int, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
         """(window, template) pairs that agree on some band."""
         pairs = set()
         if not len(start):
             return []
-        level_of = np.frexp((end - start).astype(np.float64))[1] - 1  # least of a window: of two overlapping runs of 2^level
+        held = _united(start, end)  # bands look at the shingles of these windows only
+        hashes, length = hashes[held], end - start
+        start = np.searchsorted(held, start)
+        end = start + length
+        level_of = np.frexp(length.astype(np.float64))[1] - 1  # least of a window: of two overlapping runs of 2^level
         by_level = [(j, np.flatnonzero(level_of == j)) for j in np.unique(level_of).tolist()]
         ts = self.own.classes[c]
         for k in range(BANDS):

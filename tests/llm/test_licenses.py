@@ -81,6 +81,48 @@ def test_bands_find_all_that_windows_hold():
     assert L.Scanner(L.TEMPLATES).scan(pa.array(texts)) == L.Scanner(L.TEMPLATES, bands=False).scan(pa.array(texts))
 
 
+def test_bands_are_computed_near_their_shingles_only(monkeypatch):
+    import pyarrow as pa
+
+    scanner = L.Scanner(L.TEMPLATES)
+    body, plain = L.TEMPLATES["MIT/text"], " ".join(f"w{i % 977}" for i in range(50_000))
+    permuted, asked = L.Templates.permuted, []
+    monkeypatch.setattr(L.Templates, "permuted", lambda self, h, k: asked.append(len(h)) or permuted(self, h, k))
+    assert scanner.scan(pa.array([plain, None, ""])) == [[], [], []]
+    assert not asked
+    found = scanner.scan(pa.array([plain, f"{plain} {body} {plain}"]))
+    assert [[x[0] for x in doc] for doc in found] == [[], ["MIT/text"]]
+    assert asked and max(asked) < 3000
+
+
+def test_bands_near_their_shingles_give_the_pairs_of_all_windows():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    few = "a b c d e f".split()  # shingles repeat within and across templates and texts
+    store = {f"t{i:02d}": " ".join(rng.choices(few, k=rng.randrange(5, 60))) for i in range(30)}
+    for templates in (store, L.TEMPLATES):
+        scanner, texts = L.Scanner(templates), [None, "", "a b c", "x y z u v w"]
+        for _ in range(100):
+            body = templates[rng.choice(sorted(templates))].split()
+            a = rng.randrange(len(body))
+            texts.append(" ".join(rng.choices([*few, "x", "y"], k=rng.randrange(60)) + body[a : a + rng.randrange(5, 200)] + ["z"] * rng.randrange(90)))
+        texts.append(" ".join(templates[n] for n in sorted(templates)) + " y" * 20_000)
+        rng.shuffle(texts)
+        words = L.Words(pa.array([*texts, "", None]))
+        hashes, first = words.window_hashes(5), words.first[:-1]
+        size = np.maximum(np.diff(words.first) - 4, 0)
+        places, near = scanner.own.least.find(hashes), 0
+        for c in scanner.own.classes:
+            at = np.flatnonzero(places >= 0)
+            windows = L.Scanner._near(first, size, c, at[scanner.own.least_of[c][places[at]]]), L.Scanner._windows(first, size, c)
+            pairs = [[(int(doc[w]), int(start[w]), int(end[w]), t) for w, t in scanner._retrieved(c, hashes, start, end)] for doc, start, end in windows]
+            assert pairs[0] == pairs[1]
+            near += len(pairs[0])
+        assert near > 200
+
+
 def test_a_large_store():
     import pyarrow as pa
 

@@ -114,6 +114,13 @@ def serialize_tokens(tokens, **options) -> Column:
     return _one("string", lambda ts: serialize.serialize_tokens([{**t, "attributes": t["attributes"] or []} for t in ts], **options), tokens)
 
 
+def reserialize_tokens(html, **options) -> Column:
+    """A document's own tokens through the token serializer; options as in core.serialize.OPTIONS.
+
+    The tokens stay in the worker, one document's at a time."""
+    return _one("string", lambda h: serialize.serialize_tokens(serialize.serializer_tokens(tokenize(h)), **options), html)
+
+
 def rebuild(html) -> Column:
     """The tree that the document's own tokens build when they are written out and parsed again, as HTML."""
     return _one("string", lambda h: serialize.serialize(_top(serialize.tokens_as_html(tokenize(h)), None)), html)

@@ -242,3 +242,26 @@ def test_selected_elements_and_patches(spark):
     assert made[1].result == '<ul><li class=a k="v">x<b>y</b><li k="v">z</ul>'
     assert made[2] is None
     assert made[3].result == "<p hidden>h<p>v"
+
+
+def test_column_functions_hold_few_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tagloom.core import serialize
+    from tagloom.operators.arrow import scalar
+
+    rows = [[serialize.token("StartTag", "p", {"k": str(i)}), *[serialize.token("Characters", data=f"{i}")] * 40] if i % 7 else None for i in range(2000)]
+    batch = pa.array(rows)
+    expected = [None if r is None else serialize.serialize_tokens(r) for r in rows]
+    function = scalar("string", lambda ts: serialize.serialize_tokens(ts))[0].func
+    tracemalloc.start()
+    found = function(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == expected
+    assert peak < 8_000_000  # all rows at once take over 40 MB
+    assert function(batch.slice(0, 0)).to_pylist() == []
+    nested = scalar("array<struct<a:int,b:string>>", lambda x: [(x, str(x))] * (x % 3))[0].func
+    assert nested(pa.array([*range(200), None])).to_pylist() == [*([{"a": x, "b": str(x)}] * (x % 3) for x in range(200)), None]

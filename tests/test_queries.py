@@ -38,3 +38,19 @@ def test_entry_names():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_token_serializer_of_odd_pages(spark, tmp_path):
+    """Pages without the part, without text and with an id that another has: one row each, as in the SQL."""
+    nav = '<nav><ul><li><a href="/%s">a</a></li><li><a href="/b"></a></li></ul></nav>'
+    texts = [(1, "<p>none</p>"), (2, ""), (3, None), (4, nav % "x"), (5, nav % "y"), (5, "<b>" + nav % "z" * 2)]
+    spark.createDataFrame(texts, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    connection_path = f"{tmp_path}/pages.parquet/*.parquet"
+    sql = ORACLE_SQL["s3_serialize_tokens_nav"].replace("FROM pages", f"FROM read_parquet('{connection_path}')")
+    found = QUERIES["s3_serialize_tokens_nav"](spark, str(tmp_path))
+    assert canonical(found.toPandas()) == sql_rows(str(tmp_path / "none"), sql)
+    whole = QUERIES["s3_serialize_tokens_pages"](spark, str(tmp_path))
+    assert sorted((r.page_id, r.html is None) for r in whole.collect()) == sorted((i, t is None) for i, t in texts)
+    for name in ("s3_serialize_tokens_nav", "s3_serialize_tokens_pages", "s3d_inject_meta_charset", "s3e_serialize_tokens_whitespace"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan  # a document's tokens never cross to the JVM and back

@@ -54,3 +54,21 @@ def test_token_serializer_of_odd_pages(spark, tmp_path):
     for name in ("s3_serialize_tokens_nav", "s3_serialize_tokens_pages", "s3d_inject_meta_charset", "s3e_serialize_tokens_whitespace"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan  # a document's tokens never cross to the JVM and back
+
+
+def test_rcdata_leaves_no_page_out(spark, tmp_path):
+    """No filter in the query nor in its SQL, which agree on pages whose references have semicolons."""
+    from html import unescape
+
+    whole = ["<p>a &amp; b</p>", "&amp;amp; &lt;", "x & y", "&", "&quot;q&quot; &copy;&middot;", "plain"]
+    cut = ["<h1>a&amp</h1>", "<h1>a&quot</h1>", "<h1>a&am</h1>", "x &am", "&a"]
+    for name, texts in (("whole", whole), ("cut", cut)):
+        sf_dir = tmp_path / name
+        spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1).write.parquet(str(sf_dir / "parts"))
+        next((sf_dir / "parts").glob("*.parquet")).rename(sf_dir / "pages.parquet")
+        found = QUERIES["p5b_tokenize_rcdata"](spark, str(sf_dir))
+        assert {r.page_id: r.value for r in found.collect() if r.kind == "chars"} == {i: unescape(t) for i, t in enumerate(texts)}
+        assert found.where("kind = 'eof'").count() == len(texts)
+        if name == "whole":
+            assert canonical(found.toPandas()) == sql_rows(str(sf_dir), ORACLE_SQL["p5b_tokenize_rcdata"])
+    assert "WHERE" not in ORACLE_SQL["p5b_tokenize_rcdata"]

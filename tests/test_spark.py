@@ -244,7 +244,7 @@ def test_selected_elements_and_patches(spark):
     assert made[3].result == "<p hidden>h<p>v"
 
 
-def test_column_functions_hold_few_rows_at_a_time():
+def test_column_functions_hold_few_rows_at_a_time(spark):
     import tracemalloc
 
     import pyarrow as pa
